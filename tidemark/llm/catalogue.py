@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.simhash import op9_simhash
+from tidemark.llm import decontamination, language, line_dedup, mixing, quality, simhash, token_counts
+
+MODULES = (quality, decontamination, mixing, language, token_counts, line_dedup, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash,)}
+    return {name: f for module in MODULES for name, f in vars(module).items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in getattr(module, "SQL", {}).items()}
