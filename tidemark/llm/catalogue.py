@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, language, line_dedup, mixing, quality, simhash, token_counts
+from tidemark.llm import decontamination, html, language, licenses, line_dedup, mixing, quality, simhash, token_counts, toxicity
 
-MODULES = (quality, decontamination, mixing, language, token_counts, line_dedup, simhash)
+MODULES = (quality, decontamination, mixing, language, token_counts, toxicity, line_dedup, html, simhash, licenses)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

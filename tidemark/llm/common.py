@@ -25,20 +25,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of `spark.checkpoint.dir`.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, which the driver and all executors share.
 
-    Only narrow tables (ids, hashes, counts) go through here. Outside a cluster, where the setting is absent,
-    a temporary folder takes its place; on a cluster a missing setting is an error, because a folder of one
-    machine would be lost with it.
+    Outside a cluster, where the setting is absent, a temporary folder takes its place; on a cluster a missing setting
+    is an error, because a folder of one machine would be lost with it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.match(r"local(\[|$)", context.master):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder. Only narrow tables (ids, hashes, counts) go
+    through here."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

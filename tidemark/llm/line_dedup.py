@@ -87,9 +87,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return gone.groupBy("id", "mark").agg(F.collect_set("place").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
-    """The rows of `docs`, all columns, with repeated passages taken out of the text; `removed_col` names a further
-    column for the number of chunks taken out.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None, length_col: str | None = None) -> DataFrame:
+    """The rows of `docs`, all columns, with repeated passages taken out of the text. `removed_col` names a further
+    column for the number of chunks taken out; `length_col`, if `docs` has it, is set to the new length of a text that
+    has changed.
 
     Rows that agree in id and text are one document: each gets the same result. A null text stays null, an empty one
     empty. A document that is all repeats keeps an empty text. An empty table gives none. Within one document, too,
@@ -107,6 +108,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.filter(chunks, lambda c, i: ~F.array_contains(names[2], i))
     text = F.when(F.col(names[2]).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
     columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        length = F.when(F.col(names[2]).isNull(), F.col(length_col)).otherwise(F.length(text).cast(kind))
+        columns[docs.columns.index(length_col)] = length.alias(length_col)
     if removed_col:
         columns.append(F.coalesce(F.size(names[2]), F.lit(0)).cast("long").alias(removed_col))
     return joined.select(*columns)
