@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tidemark.plans import base, feature_queries, governance_queries, ingest_queries, stream_queries  # noqa: F401
+
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(base.SQL)
