@@ -49,6 +49,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, keep: list, columns: list) -> DataFrame:
+    """The columns `keep` and the computed `columns` (with names), these by way of a generator of one row for each row.
+
+    Catalyst would otherwise put their expressions in the place of their names in any later filter, push that down and
+    compute them again in it, once for each mention within mentions; a filter isn't pushed below a generator.
+    """
+    name = fresh(df, "settled")
+    out = df.select(*keep, F.explode_outer(F.array(F.struct(*columns))).alias(name))
+    return out.select(*[F.col(c) for c in out.columns if c != name], f"{name}.*")
+
+
 def id_remainder(column: str, divisor: int):
     """crc32 of the id's text, modulo `divisor`; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, fresh, materialise, table
+from tidemark.llm.common import WORD, fresh, materialise, settled, table
 
 ROLL = 2
 SPREAD = 3
@@ -107,14 +107,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = _chunked(joined.withColumn(some, F.when(F.col(names[2]).isNotNull(), F.col(text_col))), some, chunks)
     kept = F.filter(chunks, lambda c, i: ~F.array_contains(names[2], i))
     text = F.when(F.col(names[2]).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    new = [text.alias(text_col)]
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
-        length = F.when(F.col(names[2]).isNull(), F.col(length_col)).otherwise(F.length(text).cast(kind))
-        columns[docs.columns.index(length_col)] = length.alias(length_col)
+        new.append(F.when(F.col(names[2]).isNull(), F.col(length_col)).otherwise(F.length(text).cast(kind)).alias(length_col))
     if removed_col:
-        columns.append(F.coalesce(F.size(names[2]), F.lit(0)).cast("long").alias(removed_col))
-    return joined.select(*columns)
+        new.append(F.coalesce(F.size(names[2]), F.lit(0)).cast("long").alias(removed_col))
+    out = settled(joined, [c for c in docs.columns if c not in (text_col, length_col)], new)
+    return out.select(*docs.columns, *([removed_col] if removed_col else []))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, table
+from tidemark.llm.common import SPACE, settled, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -66,8 +66,7 @@ def measured(docs: DataFrame) -> DataFrame:
     upper = F.filter("words", lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 1))
     letters = F.filter("words", lambda w: (F.lower(w) != F.upper(w)) | F.rlike(w, F.lit(r"\p{L}")))
     as_long = lambda c: c.cast("long")
-    return rows.select(
-        "doc_id",
+    columns = [
         as_long(F.size("words")).alias("n_words"),
         as_long(F.length(F.translate("text", SPACES, ""))).alias("word_chars"),
         as_long(F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
@@ -78,7 +77,8 @@ def measured(docs: DataFrame) -> DataFrame:
         as_long(F.size(upper)).alias("n_upper_words"),
         as_long(F.size(letters)).alias("n_letter_words"),
         as_long(F.size(F.filter("lines", lambda x: F.rlike(x, F.lit(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))))).alias("n_ellipsis_lines"),
-    )
+    ]
+    return settled(rows, ["doc_id"], columns)
 
 
 def verdict(names=None) -> Column:
