@@ -70,8 +70,8 @@ def test_components_of_documents(spark, sf, docs):
 
 
 def drifting(n, seed):
-    """Fingerprints in clusters: each differs from an earlier one by up to six bits."""
-    rng, out = random.Random(seed), [0]
+    """Fingerprints in clusters: each differs from an earlier one by up to six bits; one cluster is dense."""
+    rng, out = random.Random(seed), [x << 20 for x in range(60)]
     while len(out) < n:
         x = rng.choice(out[-50:]) if rng.random() < 0.9 else rng.getrandbits(64)
         for _ in range(rng.randint(1, 6)):

@@ -139,6 +139,10 @@ def _link_lists(batches):
     def passed(rows, number):
         return pa.RecordBatch.from_arrays([_signed(rows[:, 1]), _signed(rows[:, 0]), pa.array(np.full(len(rows), number), pa.int32())], ["a", "b", "chunk"])
 
+    def dealt(rows, first):
+        for k in range(0, len(rows), MAX_RUN):
+            yield passed(rows[k : k + MAX_RUN], first + k // MAX_RUN)
+
     def groups(rows):
         keys = rows[:, 1] & rows[:, 0]
         cut = np.flatnonzero((keys[1:] != keys[:-1]) | (rows[1:, 0] != rows[:-1, 0])) + 1
@@ -152,10 +156,13 @@ def _link_lists(batches):
         if going is not None:
             key = (int(rows[0, 0]), int(rows[0, 0] & rows[0, 1]))
             if key == going:
-                yield passed(rows[: stops[0]], chunk)
+                yield from dealt(rows[: stops[0]], chunk)
                 starts, stops = starts[1:], stops[1:]
             going, chunk = None, 0
         sizes = stops - starts
+        for a, b in zip(starts[sizes > MAX_RUN].tolist(), stops[sizes > MAX_RUN].tolist(), strict=True):
+            yield from dealt(rows[a:b], 0)
+        starts, sizes = starts[sizes <= MAX_RUN], sizes[sizes <= MAX_RUN]
         for a, b in _linked(np.ascontiguousarray(rows[:, 0]), starts, sizes, np.ascontiguousarray(rows[:, 1])):
             yield _edges(a, b)
 
