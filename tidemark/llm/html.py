@@ -181,31 +181,36 @@ def _meets(a, b) -> bool:
     return a == b or (isinstance(a, tuple) and len(a) == 1 and a[0] == b) or (isinstance(b, tuple) and len(b) == 1 and b[0] == a)
 
 
+def _turn(a: list, i: int, b: list, j: int) -> int:
+    """How many nodes of b, from j on, are one turn of the group a[i]; 0 if they aren't or it is no group."""
+    group = a[i][0]
+    return len(group) if isinstance(group, tuple) and [x[0] for x in b[j : j + len(group)]] == list(group) else 0
+
+
 def align(wrapper: list, page: list) -> list[tuple[int | None, int | None]]:
     """Pairs of places in both, in order; None where the other side has no part. A group also takes the run of single
     tokens that is one turn of it."""
-    out, i, j = [], 0, 0
+    out: list[tuple[int | None, int | None]] = []
+    i = j = 0
+
+    def meet(x, y):
+        return x < len(wrapper) and y < len(page) and (_meets(wrapper[x][0], page[y][0]) or _turn(wrapper, x, page, y) or _turn(page, y, wrapper, x))
+
     while i < len(wrapper) and j < len(page):
-        a, b = wrapper[i][0], page[j][0]
-        if _meets(a, b):
+        if _meets(wrapper[i][0], page[j][0]):
             out.append((i, j))
             i, j = i + 1, j + 1
-            continue
-        if isinstance(a, tuple) and [x[0] for x in page[j : j + len(a)]] == list(a):
-            out += [(i, j + k) for k in range(len(a))]
-            i, j = i + 1, j + len(a)
-            continue
-        if isinstance(b, tuple) and [x[0] for x in wrapper[i : i + len(b)]] == list(b):
-            out += [(i + k, j) for k in range(len(b))]
-            i, j = i + len(b), j + 1
-            continue
-        for total in range(1, 2 * AHEAD):
-            found = next(((x, total - x) for x in range(max(0, total - AHEAD), min(total, AHEAD) + 1) if i + x < len(wrapper) and j + total - x < len(page) and _meets(wrapper[i + x][0], page[j + total - x][0])), None)
-            if found:
-                break
-        x, y = found or (len(wrapper) - i, len(page) - j)
-        out += [(k, None) for k in range(i, i + x)] + [(None, k) for k in range(j, j + y)]
-        i, j = i + x, j + y
+        elif n := _turn(wrapper, i, page, j):
+            out += [(i, j + k) for k in range(n)]
+            i, j = i + 1, j + n
+        elif n := _turn(page, j, wrapper, i):
+            out += [(i + k, j) for k in range(n)]
+            i, j = i + n, j + 1
+        else:
+            ahead = ((x, total - x) for total in range(1, AHEAD + 1) for x in range(total + 1))
+            x, y = next(((x, y) for x, y in ahead if meet(i + x, j + y)), (len(wrapper) - i, len(page) - j))
+            out += [(k, None) for k in range(i, i + x)] + [(None, k) for k in range(j, j + y)]
+            i, j = i + x, j + y
     return out + [(k, None) for k in range(i, len(wrapper))] + [(None, k) for k in range(j, len(page))]
 
 
@@ -223,7 +228,7 @@ class Wrapper:
         new = []
         for symbol, places, digest in page:
             texts = [of[p] for p in places if p in of]
-            new.append([symbol, False, 1, digest if len(texts) == 1 else 0, sum(t[3] for t in texts), texts[0][1] if texts else None])
+            new.append([symbol, False, 1, digest if len(texts) == 1 else 0, sum(t[3] for t in texts), tuple(texts[0][1]) if texts else None])
         self.pages += 1
         if self.pages == 1:
             self.nodes = new

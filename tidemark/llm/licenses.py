@@ -43,7 +43,7 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 #: Words too common to tell a license.
-COMMON = set("a all an and any are as at be but by can code copy do either file for form free from has have if in is it its later list may met more must no not of on one or other out person public see shall so source subject that the this to under use used version was whether will with work you your 0 1 2 3 4 v".split())
+COMMON = set("a all an and any are as at be but by can code copy do either file for form free from has have if in is it its later list may met more must no not of on one or other out person public see shall so source subject that the this to under use used version was whether will with work you your 0 1 2 3 4 v".encode().split())
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -120,14 +120,16 @@ class Template:
             if len(inside) < self.needed:
                 continue
             # The template may begin before its first telling word.
-            start = max(done, k - len(self.words))
-            pairs = patience(words[start:stop], self.words)
-            coverage = len(pairs) / len(self.words)
-            if coverage >= self.least:
-                # A word matched far from the rest, at either end, doesn't stretch the finding.
-                places = [x for x, _ in pairs]
-                yield start + places[0], start + places[-1] + 1, coverage
-                done = start + places[-1] + 1
+            found = self._aligned(words, max(done, k - len(self.words)), stop)
+            if found and found[2] >= self.least:
+                # Counted from where it begins, the stretch may go on further.
+                found = max(found, self._aligned(words, found[0], min(len(words), found[0] + self.reach)), key=lambda x: x[2])
+                yield found
+                done = found[1]
+
+    def _aligned(self, words: list[bytes], start: int, stop: int):
+        pairs = patience(words[start:stop], self.words)
+        return (start + pairs[0][0], start + pairs[-1][0] + 1, len(pairs) / len(self.words)) if pairs else None
 
 
 def scan(text: bytes | None, templates: list[Template]) -> list[dict]:

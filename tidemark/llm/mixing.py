@@ -1,10 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by source and exact length in words. A source whose target is r times its size and a bit gets
-every document r times and a subset for the remaining budget: the same share of every length, rounded down, then the
-longest that fit, and a bounded-knapsack dynamic programme over the last WINDOW words, which finds the counts of
-each length that come as close to the budget as any can without passing it. Of each length the documents with the
-smallest seeded hashes are taken, so a rerun takes the same ones.
+every document r times and a subset for the remaining budget: the same share of every length, rounded down, and a
+bounded-knapsack dynamic programme over the last WINDOW words, which finds the counts of each length that come as
+near the budget as any can. Of each length the documents with the smallest seeded hashes are taken, so a rerun takes
+the same ones.
 
 The programme sees one row for each length of a source, never documents. Which documents of a length are taken is
 settled by SALTS ranges of the seeded hash: whole ranges are in or out by their counts, and only within a range are
@@ -30,33 +30,38 @@ SALTS = 256
 
 
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take so that their words come as near `budget` from below as the
-    programme can bring them; no more than `counts` of any."""
+    """How many documents of each length to take so that their words come as near `budget` as they can; no more than
+    `counts` of any. All counts are open to the programme for a budget of up to WINDOW; of a larger one a share of
+    each length is taken first, and the programme has the last WINDOW or so with what is left of the counts."""
     total = sum(a * b for a, b in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
     if budget <= 0 or not total:
         return [0] * len(lengths)
-    taken = [c * budget // total for c in counts]
-    left = budget - sum(a * b for a, b in zip(lengths, taken, strict=True))
+    taken, left = [0] * len(lengths), budget
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    for i in order:
-        if lengths[i] and left > WINDOW:
-            more = min(counts[i] - taken[i], (left - WINDOW // 2) // lengths[i])
-            if more > 0:
-                taken[i] += more
-                left -= more * lengths[i]
-    left_now = min(left, WINDOW)
+    if budget > WINDOW:
+        taken = [c * (budget - WINDOW // 2) // total for c in counts]
+        left = budget - sum(a * b for a, b in zip(lengths, taken, strict=True))
+        for i in order:
+            if lengths[i] and left > WINDOW:
+                more = min(counts[i] - taken[i], (left - WINDOW // 2) // lengths[i])
+                taken[i] += max(0, more)
+                left -= lengths[i] * max(0, more)
     # Bit s of `reached` says that s words can be made; each step adds one binary part of one length's count.
-    full, reached, steps = (1 << left_now + 1) - 1, 1, []
+    limit = 2 * min(left, WINDOW)
+    full, reached, steps = (1 << limit + 1) - 1, 1, []
     for i in order:
-        spare, part = min(counts[i] - taken[i], left_now // lengths[i] if lengths[i] else 0), 1
-        while spare > 0 and not reached >> left_now & 1:
+        spare, part = min(counts[i] - taken[i], limit // lengths[i] if lengths[i] else 0), 1
+        while spare > 0 and not reached >> left & 1:
             part = min(part, spare)
             steps.append((i, part, reached))
             reached |= reached << lengths[i] * part & full
             spare, part = spare - part, part * 2
-    best = reached.bit_length() - 1
+    below = (reached & (1 << left + 1) - 1).bit_length() - 1
+    above = reached >> left
+    over = (above & -above).bit_length() - 1 if above else left + 1
+    best = left + over if over < left - below else below
     for i, part, before in reversed(steps):
         if not before >> best & 1:
             taken[i] += part
