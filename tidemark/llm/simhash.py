@@ -245,7 +245,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     none. Further columns are ignored.
     """
     rows = materialise(fingerprints(docs, id_col, text_col))
-    return rows.join(classes(rows), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Exact copies share a fingerprint. With both sides read from storage nothing stands between the exchanges and the
+    # join, so adaptive execution splits a hot one.
+    of = materialise(classes(rows))
+    return rows.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
