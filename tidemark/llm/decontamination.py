@@ -168,3 +168,22 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+#: The same by joining windows as text, for each length that a window has.
+SQL = {
+    "op2_decontamination": rf"""
+WITH t AS (SELECT 'd' AS side, row_number() OVER () AS r, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark),
+w AS (SELECT side, r, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM t),
+b AS (SELECT coalesce(id::VARCHAR, '') AS item, words, least({WINDOW}, len(words)) AS n, unnest(range(1, greatest(1, len(words) - {WINDOW - 1}) + 1)) AS i FROM w WHERE side = 'b' AND len(words) > 0),
+v AS (SELECT DISTINCT item, n, array_to_string(words[i : i + n - 1], ' ') AS win FROM b),
+l AS (SELECT DISTINCT n FROM v),
+p AS (SELECT r, words, l.n, unnest(range(1, len(words) - l.n + 2)) AS i FROM w, l WHERE side = 'd' AND len(words) >= l.n),
+h AS (SELECT p.r, p.i, p.n, v.item FROM p JOIN v ON p.n = v.n AND array_to_string(p.words[p.i : p.i + p.n - 1], ' ') = v.win),
+c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM h) GROUP BY r),
+m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT w.id AS doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c USING (r) LEFT JOIN m USING (r) WHERE side = 'd'"""
+}
