@@ -118,3 +118,10 @@ def test_roles(spark, sf):
     assert "c_acctbal" not in quality.view_for(customers, "customer", "analyst").columns
     with pytest.raises(PermissionError):
         quality.view_for(customers, "customer", "guest")
+
+
+def test_entries_of_an_operation(spark):
+    rows = audit.entry(spark.createDataFrame([(7, 3)], "account_id long, n long"), "PIT_QUERY", "features", F.lit("u"), F.lit(2), ["n"], F.lit("2024-01-01 00:00:00"))
+    r = rows.first()
+    assert (r["account_id"], r["metadata"], r["action"], len(r["event_id"])) == ("7", '{"n":3}', "pit_query", 16)
+    assert set(audit.COVERED) <= set(rows.columns)

@@ -137,3 +137,5 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     second = stream_of(spark, folder, [[("a", at(0), 1.0, at(1)), ("c", at(2), 2.0, at(2))]])
     out = {r["transaction_id"]: r["transaction_count_24h"] for r in run.drain(features.rolling(second, policy="none"), folder).collect()}
     assert out == {"a": 1, "c": 2}
+    state = run.saved_state(spark, folder).first()
+    assert state["key"]["account_id"] == "acc_001" and len(state["value"]["groupState"]["ids"]) == 2

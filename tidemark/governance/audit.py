@@ -20,6 +20,16 @@ def event_id(time: Column, number: Column, last: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", time.cast("string"), number.cast("string"), last), 256), 1, 16)
 
 
+def entry(df: DataFrame, operation: str, resource: str, user: Column, latency_ms: Column, details: list[str], at: Column) -> DataFrame:
+    """Log rows of an operation on the rows of `df` (account_id), with some columns as JSON metadata."""
+    metadata = F.to_json(F.struct(*details)) if details else F.lit("{}")
+    rows = df.select(
+        at.alias("timestamp"), F.lit(operation).alias("operation"), user.cast("string").alias("user_id"), F.col("account_id").cast("string").alias("account_id"), F.lit(resource).alias("resource"),
+        F.lit(operation.lower()).alias("action"), F.lit("OK").alias("status"), latency_ms.cast("double").alias("latency_ms"), metadata.alias("metadata"),
+    )
+    return rows.withColumn("event_id", event_id(F.col("timestamp"), F.xxhash64("account_id", "metadata"), F.lit(GENESIS)))
+
+
 def chain(entries: DataFrame, segment: list[str], order: list[str], columns=COVERED) -> DataFrame:
     """Adds prev_checksum and checksum = SHA-256(content + prev_checksum). A chain is sequential, so there is one for
     each segment (a day and a writer, say): segments are folded in parallel, each in its order."""

@@ -37,3 +37,19 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
 def _schema(stream: DataFrame, mode: str) -> str:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
     return kinds if mode == "append" else f"{kinds}, batch long"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State in RocksDB with incremental checkpoints, for queries that are started from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def saved_state(spark: SparkSession, folder: str) -> DataFrame:
+    """What a query's last checkpoint holds, as (key, value) rows."""
+    return spark.read.format("statestore").load(f"{folder}/checkpoint").select("key", "value")
+
+
+def watermark_delay(delay_seconds: int, skew_seconds: int = 0) -> str:
+    """The delay of a watermark over sources whose clocks may differ by so much."""
+    return f"{delay_seconds + skew_seconds} seconds"
