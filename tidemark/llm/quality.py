@@ -9,12 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, settled, table
+from tidemark.llm.common import SPACE, WORD, settled, table
 
 SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
-#: Left out of a word before it is looked up among the stop words.
-EDGES = ".,;:!?\"'()[]"
 
 # Frequent function words of the languages that are meant to pass.
 STOP_WORDS = {
@@ -31,8 +28,8 @@ RULES = [
     ("repeated_windows", "n_repeat_words / n_words", None, 0.5),
     ("symbols", "n_symbols / n_words", None, 0.1),
     ("stop_words", "n_stop_words / n_words", 0.06, None),
-    ("shouting", "n_upper_words / n_words", None, 0.5),
-    ("words_with_letters", "n_letter_words / n_words", 0.7, None),
+    ("shouting", "n_capitals / n_letters", None, 0.5),
+    ("letters", "n_letters / word_chars", 0.6, None),
     ("repeated_lines", "n_dup_lines / n_lines", None, 0.34),
     ("ellipsis_lines", "n_ellipsis_lines / n_lines", None, 0.3),
 ]
@@ -48,7 +45,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the counts that RULES use. A null text counts as an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    rows = rows.select("doc_id", "text", _words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACES, "") != "").alias("lines"))
+    rows = rows.select("doc_id", "text", _words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(WORD))).alias("lines"))
     window = F.when(F.size("words") > 2, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))).otherwise(F.array().cast("array<long>"))
     rows = rows.withColumn("windows", window)
     # Where windows repeat: (hash, place), sorted, so that equal hashes lie together.
@@ -61,21 +58,19 @@ def measured(docs: DataFrame) -> DataFrame:
         F.transform("places", lambda i, k: F.least(F.lit(3), F.coalesce(F.get("places", k + 1) - i, F.lit(3)))), F.lit(0).cast("long"), lambda s, x: s + x
     )
     listed = sorted({w for words in STOP_WORDS.values() for w in words.split()})
-    bare = F.filter(F.split(F.translate(F.lower("text"), EDGES + SYMBOLS, ""), SPACE), lambda w: w.isin(listed))
-    # A word is in capitals if it has an upper-case and no lower-case letter, and two letters at least.
-    upper = F.filter("words", lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 1))
-    letters = F.filter("words", lambda w: (F.lower(w) != F.upper(w)) | F.rlike(w, F.lit(r"\p{L}")))
+    stops = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w.isin(listed))
+    count = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
     as_long = lambda c: c.cast("long")
     columns = [
         as_long(F.size("words")).alias("n_words"),
-        as_long(F.length(F.translate("text", SPACES, ""))).alias("word_chars"),
-        as_long(F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.length(w)).alias("word_chars"),
+        as_long(count(f"[{SYMBOLS}]+")).alias("n_symbols"),
         as_long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         as_long(F.size("lines")).alias("n_lines"),
-        as_long(F.size(bare)).alias("n_stop_words"),
-        as_long(F.size(upper)).alias("n_upper_words"),
-        as_long(F.size(letters)).alias("n_letter_words"),
+        as_long(F.size(stops)).alias("n_stop_words"),
+        as_long(count(r"\p{Lu}+")).alias("n_capitals"),
+        as_long(count(r"\p{L}+")).alias("n_letters"),
         as_long(F.size(F.filter("lines", lambda x: F.rlike(x, F.lit(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))))).alias("n_ellipsis_lines"),
     ]
     return settled(rows, ["doc_id"], columns)
@@ -110,7 +105,6 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     words = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({w for x in STOP_WORDS.values() for w in x.split()}))
-    strip = "".join("''" if c == "'" else c for c in EDGES + SYMBOLS)
     rules = []
     for _, measure, least, greatest in RULES:
         top, _, bottom = measure.partition(" / ")
@@ -128,9 +122,9 @@ m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text
         (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n_repeat_words, 0)::BIGINT AS n_repeat_words,
         len(lines) AS n_lines,
-        len(list_filter(regexp_extract_all(translate(lower(text), '{strip}', ''), '[^\x20\x09-\x0D]+'), lambda x: x IN ({words}))) AS n_stop_words,
-        len(list_filter(words, lambda x: x = upper(x) AND x <> lower(x) AND length(x) > 1)) AS n_upper_words,
-        len(list_filter(words, lambda x: lower(x) <> upper(x) OR regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
+        len(list_filter(regexp_extract_all(lower(text), '\p{{L}}+'), lambda x: x IN ({words}))) AS n_stop_words,
+        length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_capitals,
+        length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) AS n_letters,
         len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines
       FROM w LEFT JOIN c USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
