@@ -420,6 +420,8 @@ def test_folding_and_alignment():
 def test_malformed_pages():
     assert html.extract("<article><p>a<p>b<!-- open", None) == "a\nb"
     assert html.extract("<nav>menu<article>text</article>", None) == "text"
+    assert html.extract("<main>a<img class='ad'>b<p class='notice'>no<p>c</p><p class=share>no</p>d <span class='advert'>no</span>e</main>", None) == "ab\nc\nd\ne"
+    assert html.extract("<div class='site-header'>no</div><div id=post><div class='entry-header'><h1>t</h1></div><p>long enough text here</p></div><ul class=menu><li>no</ul>", None) == "t\nlong enough text here"
     assert html.extract("<article>x<script>if (a<b) {}</article>", None) == "x"
     assert html.extract("<main>1 &lt; 2 &#233; <i>in</i>line<br>next<section class='user-comments'>no</section></main>", None) == "1 < 2 é inline\nnext"
 

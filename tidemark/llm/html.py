@@ -51,14 +51,18 @@ CONTAINERS = set("body div section article main aside nav header footer form ul
 BLOCKS = CONTAINERS | set("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption thead tbody tfoot pre address figcaption hr br html legend summary center option title".split())
 #: Their content is no text of the page.
 RAW = set("script style noscript template iframe textarea svg select button object canvas math audio video head noframes xmp".split())
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that the start of certain others ends.
+IMPLIED = {**{x: BLOCKS - {"br"} for x in ("p", "h1", "h2", "h3", "h4", "h5", "h6")}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 #: Never part of an article.
 LEFT_OUT = set("nav aside footer form menu dialog fieldset search".split())
-OUTSIDE_ONLY = {"header"}
+#: A header within an article, or of an entry, has its title.
+OUTSIDE_ONLY, OF_AN_ENTRY = {"header"}, {"entry", "post", "article", "content", "story"}
 ARTICLE = {"article", "main"}
 #: Words of class, id or role that tell the same.
 TELLING = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar "
-    "comment comments commentlist respond reply replies disqus discussion notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing "
+    "comment comments commentlist menubar topnav subnav navmenu sidemenu respond reply replies disqus discussion notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended recommendations widget toolbar pagination pager skip skiplink complementary contentinfo search".split()
 )
 
@@ -127,25 +131,25 @@ class Page:
                     continue
                 flush()
                 continue
-            inline = tag not in BLOCKS
-            symbol = _symbol(tag, rest) if not close and (not inline or "class" in rest or "hidden" in rest) else tag
-            if inline and not (close and any(x.split(".")[0] == tag for x in path)) and not (not close and not rest.endswith("/") and _told(symbol)):
+            inline, void = tag not in BLOCKS, tag in VOID or rest.endswith("/")
+            symbol = _symbol(tag, rest) if not close and (not inline or "class" in rest or "id" in rest or "hidden" in rest) else tag
+            told, tags = not close and not void and _told(symbol), [x.split(".")[0] for x in path]
+            if inline and not told and not (close and tag in tags):
                 continue
             flush()
-            if inline or tag in CONTAINERS:
-                if close:
-                    tags = [x.split(".")[0] for x in path]
-                    if tag in tags:
-                        k = len(tags) - 1 - tags[::-1].index(tag)
-                        del path[k:]
-                        self.tokens.append("/" + tag)
-                else:
-                    if tag in ARTICLE and not any(x.split(".")[0] in ARTICLE for x in path):
-                        # What should have been closed before an article doesn't hold it.
-                        while path and _told(path[-1]):
-                            path.pop()
-                    path.append(symbol)
-                    self.tokens.append(symbol)
+            if not close and not inline and path and tag in IMPLIED.get(tags[-1], ()):
+                path.pop()
+                self.tokens.append("/" + tags.pop())
+            if close and tag in tags:
+                del path[len(tags) - 1 - tags[::-1].index(tag) :]
+                self.tokens.append("/" + tag)
+            elif not close and (told or tag in CONTAINERS):
+                if tag in ARTICLE and not ARTICLE.intersection(tags):
+                    # What should have been closed before an article doesn't hold it.
+                    while path and _told(path[-1]):
+                        path.pop()
+                path.append(symbol)
+                self.tokens.append(symbol)
             elif not close and tag not in ("br", "html", "hr"):
                 self.tokens.append(tag)
         flush()
@@ -287,8 +291,8 @@ class Main:
     def _left_out(path) -> bool:
         in_article = False
         for x in path:
-            tag = x.split(".")[0]
-            if _told(x) or (tag in OUTSIDE_ONLY and not in_article):
+            tag, *words = x.split(".")
+            if _told(x) or (not in_article and not OUTSIDE_ONLY.isdisjoint((tag, *words)) and OF_AN_ENTRY.isdisjoint(words)):
                 return True
             in_article = in_article or tag in ARTICLE
         return False
