@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import parse_event_time
@@ -66,8 +67,9 @@ def population_stability(df: DataFrame, value: str, is_new: Column, bounds: list
     """Drift of a value between old and new rows: by bucket the shares and their part of the stability index."""
     bucket = sum((F.when(F.col(value) > b, 1).otherwise(0) for b in bounds), F.lit(0))
     counts = df.groupBy(bucket.alias("bucket")).agg(F.count(F.when(~is_new, 1)).alias("old"), F.count(F.when(is_new, 1)).alias("new"))
-    totals = counts.agg(F.sum("old").alias("all_old"), F.sum("new").alias("all_new"))
-    shares = counts.join(F.broadcast(totals), F.lit(True)).select("bucket", (F.greatest("old", F.lit(1)) / F.col("all_old")).alias("old_share"), (F.greatest("new", F.lit(1)) / F.col("all_new")).alias("new_share"))
+    everything = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # one row a bucket
+    share = lambda c: F.greatest(c, F.lit(1)) / F.sum(c).over(everything)
+    shares = counts.select("bucket", share("old").alias("old_share"), share("new").alias("new_share"))
     return shares.withColumn("psi", (F.col("new_share") - F.col("old_share")) * F.log(F.col("new_share") / F.col("old_share")))
 
 

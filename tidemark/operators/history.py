@@ -60,6 +60,7 @@ def asof_join(
     tolerance: str | None = None,
     forward: bool = False,
     ties: list[str] | None = None,
+    chunk_seconds: int | None = None,
 ) -> DataFrame:
     """To each left row the latest right row with the same key and right time <= left time (forward: the earliest
     with right time >= left time), if not further off than `tolerance` (an interval).
@@ -67,6 +68,10 @@ def asof_join(
     Both sides are united and each left row takes the last right row before it: one shuffle by key and one sort,
     linear in the rows however many there are of an entity. A right row is carried as a struct, so a null in it isn't
     passed over. Right rows at the same time stand in the order of `ties`; the last counts. A null key matches none.
+
+    A key is one task's work. Where a few keys have a large part of the rows, `chunk_seconds` cuts their time into
+    stretches that run apart; what a stretch begins with is the last right row of the stretches before it, from a
+    table of one row for each key and stretch.
     """
     right_row = F.struct(F.col(right_time).alias("t_"), *columns)
     side = 0 if not forward else 1
@@ -76,8 +81,24 @@ def asof_join(
     keys = [f"k{i}_" for i in range(len(on))]
     order = [F.col("t_"), F.col("side_"), F.col("tie_")]
     order = [c.desc() for c in order] if forward else order
+    both = r.unionByName(rows)
+    if chunk_seconds:
+        keys.append("c_")
+        sign = -1 if forward else 1
+        both = both.withColumn("c_", sign * F.floor(F.unix_seconds(F.col("t_").cast("timestamp")) / chunk_seconds))
     last = F.last("r_", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    out = r.unionByName(rows).withColumn("m_", last).filter("l_ is not null")
+    out = both.withColumn("m_", last).filter("l_ is not null")
+    if chunk_seconds:
+        pick = F.min_by if forward else F.max_by
+        final = both.filter("r_ is not null").groupBy(*keys).agg(pick("r_", F.struct("t_", "tie_")).alias("final_"))
+        marks = final.unionByName(out.select(*keys).distinct().withColumn("final_", F.lit(None).cast(final.schema["final_"].dataType)))
+        earlier = W.partitionBy(*keys[:-1]).orderBy("c_").rangeBetween(W.unboundedPreceding, -1)
+        carried = marks.withColumn("carry_", F.last("final_", ignorenulls=True).over(earlier)).filter("final_ is null").select(*[F.col(k).alias(f"{k}o") for k in keys], "carry_")
+        on_keys = F.lit(True)
+        for k in keys:
+            on_keys = on_keys & F.col(k).eqNullSafe(F.col(f"{k}o"))
+        out = out.join(carried, on_keys, "left").withColumn("m_", F.coalesce("m_", "carry_"))
+        keys.pop()
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()

@@ -9,20 +9,35 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import risk_score, second_difference
 
 
-def rolling_features(tx: DataFrame, short: str = "1 HOUR", long: str = "24 HOURS") -> DataFrame:
+def chunk_of(time: str, seconds: int) -> Column:
+    """The number of the stretch of so many seconds that a time is in."""
+    return F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / seconds)
+
+
+def rolling_features(tx: DataFrame, short: str = "1 HOUR", long: str = "24 HOURS", chunk_seconds: int | None = None) -> DataFrame:
     """One vector per transaction (account_id, event_time, amount, merchant_id), over RANGE frames of both lengths
     that end with it, transactions at the same time included; so the order of arrival makes no difference.
 
     Money is rounded to cents; the risk score comes from unrounded totals. Merchants count if neither null nor empty.
+
+    An account is one task's work. Where a few have a large part of the rows, `chunk_seconds`, at least the longer
+    frame, cuts their history into stretches that run apart: each event is also handed to the next stretch, whose
+    frames it may be in, and counts there without a vector of its own.
     """
+    by = "account_id"
+    if chunk_seconds:
+        own = chunk_of("event_time", chunk_seconds)
+        tx = tx.withColumn("chunk_", F.explode(F.array(own, own + 1))).withColumn("own_", F.col("chunk_") == own)
+        by = "account_id, chunk_"
     over = {"1h": short, "24h": long}
     columns = []
     for name, length in over.items():
-        frame_sql = f"OVER (PARTITION BY account_id ORDER BY event_time RANGE BETWEEN INTERVAL {length} PRECEDING AND CURRENT ROW)"
+        frame_sql = f"OVER (PARTITION BY {by} ORDER BY event_time RANGE BETWEEN INTERVAL {length} PRECEDING AND CURRENT ROW)"
         columns += [f"count(*) {frame_sql} AS n_{name}", f"sum(amount) {frame_sql} AS t_{name}"]
-    long_frame = f"OVER (PARTITION BY account_id ORDER BY event_time RANGE BETWEEN INTERVAL {long} PRECEDING AND CURRENT ROW)"
+    long_frame = f"OVER (PARTITION BY {by} ORDER BY event_time RANGE BETWEEN INTERVAL {long} PRECEDING AND CURRENT ROW)"
     columns += [f"size(collect_set(nullif(merchant_id, '')) {long_frame}) AS merchants", f"max(amount) {long_frame} AS most", f"min(amount) {long_frame} AS least", f"max(event_time) {long_frame} AS last"]
-    rows = tx.selectExpr("transaction_id", "account_id", "event_time", *columns)
+    rows = tx.selectExpr("transaction_id", "account_id", "event_time", *columns, *(["own_"] if chunk_seconds else []))
+    rows = rows.filter("own_") if chunk_seconds else rows
     money = lambda c: F.round(c.cast("decimal(38,6)"), 2).cast("double")  # noqa: E731  half cents go up whatever the order of the sum
     return rows.select(
         "transaction_id",

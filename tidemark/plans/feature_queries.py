@@ -76,6 +76,24 @@ def asof_join_left(spark, sf):
     return H.asof_join(left, right, ["account_id"], "event_time", "event_time", ["value", "merchant_id"])
 
 
+@query(f"WITH {SIDES} SELECT l.*, r.value, r.merchant_id FROM l ASOF LEFT JOIN r ON l.account_id = r.account_id AND l.event_time >= r.event_time")
+def asof_join_in_chunks(spark, sf):
+    """As asof_join_left, with each account's time cut into days that run apart."""
+    left, right = _sides(spark, sf)
+    return H.asof_join(left, right, ["account_id"], "event_time", "event_time", ["value", "merchant_id"], chunk_seconds=86400)
+
+
+@query(f"WITH {SIDES} SELECT l.*, r.value FROM l ASOF LEFT JOIN r ON l.account_id = r.account_id AND l.event_time <= r.event_time")
+def asof_join_forward_in_chunks(spark, sf):
+    left, right = _sides(spark, sf)
+    return H.asof_join(left, right, ["account_id"], "event_time", "event_time", ["value"], forward=True, chunk_seconds=86400)
+
+
+@query(f"WITH {TX}, {rolling_sql()} SELECT * FROM v")
+def rolling_vectors_in_chunks(spark, sf):
+    return W.rolling_features(transactions(spark, sf), chunk_seconds=86400)
+
+
 @query(f"WITH {SIDES} SELECT l.*, r.value FROM l ASOF JOIN r ON l.account_id = r.account_id AND l.event_time >= r.event_time")
 def asof_join_inner(spark, sf):
     left, right = _sides(spark, sf)
