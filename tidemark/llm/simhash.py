@@ -69,17 +69,18 @@ def _signed(values) -> pa.Array:
 
 
 def _fingerprint_batches(batches):
-    """Appends the fingerprint of the last column's bytes in that column's place."""
+    """Rows (id, hash, text's bytes) with the fingerprint in the place of the bytes."""
     for batch in batches:
-        texts = batch.column(batch.num_columns - 1)
-        prints = _signed([fingerprint(x.as_py()) for x in texts])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], prints], names=batch.schema.names)
+        prints = _signed([fingerprint(x.as_py()) for x in batch.column(2)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints], ["doc_id", "mark", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the signed long of each row's fingerprint."""
+    """(doc_id, mark, fp): each row's id, a hash that tells its text from others with that id, and the signed long of
+    its fingerprint."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("fp")).mapInArrow(_fingerprint_batches, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), text_bytes(text_col).alias("fp"))
+    return rows.mapInArrow(_fingerprint_batches, f"doc_id {kind}, mark long, fp long")
 
 
 def _forest(values: np.ndarray) -> tuple[list, list]:
@@ -252,18 +253,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, less all but one row of each component: the one of the smallest id stays,
-    a null id last; of rows with that id, the one of the smallest fingerprint; of repeated rows, one."""
-    name, own = fresh(docs, "fp"), fresh(docs, "text_bytes")
-    head, best = fresh(docs, "best_head"), fresh(docs, "best_fp")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = docs.withColumn(own, text_bytes(text_col)).mapInArrow(_fingerprint_batches, f"{kinds}, `{own}` long").withColumnRenamed(own, name)
+    """The rows of `docs`, all columns, less all but one row of each component: the one of the smallest id stays, a
+    null id last; of rows with that id, the one of the smallest hash of the text; of repeated rows, one."""
+    names = [fresh(docs, x) for x in ("kept_id", "kept_mark")]
     rows = materialise(fingerprints(docs, id_col, text_col))
-    parts = rows.groupBy("fp").agg(F.min("doc_id").alias("head")).join(classes(rows), "fp")
-    order = F.struct(F.col("head").isNull().alias("none"), F.col("head").alias("head"), F.col("fp").alias("fp"))
-    kept = parts.groupBy("component").agg(F.min(order).alias("best")).select(F.col("best.head").alias(head), F.col("best.fp").alias(best))
-    joined = marked.join(kept, F.col(id_col).eqNullSafe(F.col(head)) & (F.col(name) == F.col(best)))
-    return joined.dropDuplicates([head, best]).select(*docs.columns)
+    of = materialise(classes(rows))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
+    kept = rows.join(of, "fp").groupBy("component").agg(F.min(order).alias("best"))
+    kept = kept.select(F.col("best.id").alias(names[0]), F.col("best.mark").alias(names[1]))
+    joined = docs.join(kept, F.col(id_col).eqNullSafe(F.col(names[0])) & (F.xxhash64(text_col) == F.col(names[1])))
+    return joined.dropDuplicates(names).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
