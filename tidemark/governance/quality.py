@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import parse_event_time
 
 EARLIEST = "2020-01-01"
-#: Upper bounds of the histograms' buckets, in seconds.
+# Upper bounds of the histograms' buckets, in seconds.
 LATENCY_BUCKETS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0)
 CHECKPOINT_BUCKETS = (1, 5, 10, 30, 60, 120, 300)
 MAX_TEXT = 10_000

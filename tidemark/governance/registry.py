@@ -134,7 +134,7 @@ def validate_json(df, column: str, schema: dict):
     return parsed.withColumn("errors", F.array_compact(F.array(*messages))).drop("event_")
 
 
-#: The schema of change events.
+# The schema of change events.
 TRANSACTION = {
     "type": "record",
     "name": "Transaction",

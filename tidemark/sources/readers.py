@@ -9,6 +9,21 @@ from pyspark.sql import types as T
 from tidemark.model import EVENT, flatten
 
 
+# Payloads that ingestion is tried with.
+MALFORMED = [
+    {},
+    {"account_id": None},
+    {"transaction_id": ""},
+    {"account_id": "acc", "event_time": "not-a-date"},
+    {"account_id": "acc", "amount": "Infinity"},
+    {"account_id": "acc", "amount": "NaN"},
+    {"account_id": "acc" * 1000},
+    {chr(i): "value" for i in range(32, 256)},
+]
+SQL_TEXTS = ["'; DROP TABLE users; --", "' OR '1'='1", "1; DELETE FROM features", "UNION SELECT * FROM secrets", "'; EXEC xp_cmdshell('rm -rf /'); --"]
+SCRIPT_TEXTS = ["<script>alert('xss')</script>", "<img src=x onerror=alert(1)>", "javascript:alert(document.cookie)", "<svg onload=alert(1)>"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,9 +90,7 @@ def adversarial_payloads(spark: SparkSession, now: str = "2024-01-15T12:00:00Z")
     import json
     from datetime import datetime, timedelta
 
-    odd = [{}, {"account_id": None}, {"transaction_id": ""}, {"account_id": "acc", "event_time": "not-a-date"}, {"account_id": "acc", "amount": "Infinity"}, {"account_id": "acc", "amount": "NaN"}, {"account_id": "acc" * 1000}, {chr(i): "value" for i in range(32, 256)}]
-    sql = ["'; DROP TABLE users; --", "' OR '1'='1", "1; DELETE FROM features", "UNION SELECT * FROM secrets", "'; EXEC xp_cmdshell('rm -rf /'); --"]
-    scripts = ["<script>alert('xss')</script>", "<img src=x onerror=alert(1)>", "javascript:alert(document.cookie)", "<svg onload=alert(1)>"]
+    odd, sql, scripts = MALFORMED, SQL_TEXTS, SCRIPT_TEXTS
     at = datetime.fromisoformat(now.replace("Z", "+00:00"))
     rows = [("malformed", odd[i % len(odd)], "rejected") for i in range(50)]
     rows += [("sql_injection", {"field": f"account_{i}", "value": sql[i % len(sql)]}, "tokenised") for i in range(30)]
