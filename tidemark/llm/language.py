@@ -34,6 +34,8 @@ ROUNDS = 4
 FLOOR = 1e-8
 #: Pre-tokens that a worker keeps the scores of.
 MAX_TABLE = 300_000
+#: Pre-tokens of one length that are scored together.
+BLOCK = 20_000
 #: Pre-tokens whose evidence the score weighs; the log-likelihood of a longer text is brought down to so many.
 EVIDENCE = 16
 UNKNOWN = "und"
@@ -70,8 +72,8 @@ def _bytes_by_length(words: list[bytes]):
     cuts = np.flatnonzero(np.diff(sizes[order])) + 1
     for at in np.split(order, cuts) if len(order) else []:
         n = int(sizes[at[0]])
-        for i in range(0, len(at), 50_000):
-            part = at[i : i + 50_000]
+        for i in range(0, len(at), BLOCK):
+            part = at[i : i + BLOCK]
             yield part, np.frombuffer(b"".join([words[k] for k in part]), np.uint8).reshape(len(part), n)
 
 
