@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,20 +33,30 @@ def entry(df: DataFrame, operation: str, resource: str, user: Column, latency_ms
     return rows.withColumn("event_id", event_id(F.col("timestamp"), F.xxhash64("account_id", "metadata"), F.lit(GENESIS)))
 
 
+def _folding(batches):
+    """Rows in the order of their segments: (columns..., segment, content) with prev_checksum and checksum in the
+    place of the last two."""
+    segment = last = None
+    for batch in batches:
+        n = batch.num_columns
+        before, after = [], []
+        for of, text in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist(), strict=True):
+            if of != segment:
+                segment, last = of, GENESIS
+            before.append(last)
+            last = hashlib.sha256((text + last).encode()).hexdigest()
+            after.append(last)
+        yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(before), pa.array(after)], names=[*batch.schema.names[: n - 2], "prev_checksum", "checksum"])
+
+
 def chain(entries: DataFrame, segment: list[str], order: list[str], columns=COVERED) -> DataFrame:
     """Adds prev_checksum and checksum = SHA-256(content + prev_checksum). A chain is sequential, so there is one for
-    each segment (a day and a writer, say): segments are folded in parallel, each in its order."""
-    row = F.struct(*order, content(columns).alias("content_"), F.struct(*entries.columns).alias("row_"))
-    start = F.struct(F.lit(GENESIS).alias("last"), F.array().cast("array<struct<prev:string,sum:string>>").alias("sums"))
-
-    def step(state: Column, x: Column) -> Column:
-        digest = F.sha2(F.concat(x["content_"], state["last"]), 256)
-        return F.struct(digest.alias("last"), F.concat(state["sums"], F.array(F.struct(state["last"].alias("prev"), digest.alias("sum")))).alias("sums"))
-
-    folded = entries.groupBy(*[F.col(c).alias(f"seg_{c}") for c in segment]).agg(F.array_sort(F.collect_list(row)).alias("rows_"))
-    folded = folded.withColumn("sums_", F.aggregate("rows_", start, step, lambda s: s["sums"]))
-    out = folded.select(F.explode(F.arrays_zip("rows_", "sums_")).alias("x"))
-    return out.select("x.rows_.row_.*", F.col("x.sums_.prev").alias("prev_checksum"), F.col("x.sums_.sum").alias("checksum"))
+    each segment (a day and a writer, say): segments are folded in parallel, each row by row in its order, without
+    being held as a whole."""
+    marked = entries.withColumn("segment_", F.to_json(F.struct(*segment))).withColumn("content_", content(columns))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
+    rows = marked.repartition("segment_").sortWithinPartitions("segment_", *order)
+    return rows.mapInArrow(_folding, f"{kinds}, prev_checksum string, checksum string")
 
 
 def broken_links(log: DataFrame, segment: list[str], order: list[str], columns=COVERED) -> DataFrame:
