@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -396,9 +397,17 @@ def article(n):
     return f"<article><h1>Title {n}</h1>" + "".join(f"<p>Text {n}&nbsp;{k}  <b>bold</b>\n word</p>" for k in range(n % 5 + 1)) + '<div class="share">Share</div></article>'
 
 
+def wrapper_of(pages):
+    """By way of partial wrappers, as text, in two parts."""
+    parts = [html.joined(html.Wrapper.of(html.Page(p)) for p in pages[k::2]) for k in (0, 1)]
+    whole = html.joined(html.Wrapper.read(w.written()) for w in parts)
+    assert whole.pages == len(pages)
+    return html._nodes(json.dumps(whole.finished()))
+
+
 def test_articles():
     pages = [PAGE.format(nav="<li>a</li>" * (n % 3 + 1), n=n, main=article(n)) for n in range(8)]
-    wrapper = html._nodes(__import__("json").dumps(html.infer([html._skeleton(p) for p in pages[:6]])))
+    wrapper = wrapper_of(pages[:6])
     for n, p in enumerate(pages):
         assert html.extract(p, wrapper) == "\n".join([f"Title {n}", *[f"Text {n} {k} bold word" for k in range(n % 5 + 1)]])
 
@@ -407,7 +416,7 @@ def test_without_an_article_fixed_texts_go():
     """Nothing is marked: the wrapper knows the text that all pages of the host share."""
     body = "<body><div id=c1><div>Call us any time for a quote today</div><div><p>Own words {n} of page {n} that differ a lot {n}</p><p>More of {n} and so on {n} again</p></div></div></body>"
     pages = [body.format(n=n) for n in range(5)]
-    wrapper = html._nodes(__import__("json").dumps(html.infer([html._skeleton(p) for p in pages])))
+    wrapper = wrapper_of(pages)
     assert html.extract(pages[3], wrapper) == "Own words 3 of page 3 that differ a lot 3\nMore of 3 and so on 3 again"
 
 

@@ -12,14 +12,14 @@ or comments, and less text outside an article that every page of the host has al
 host's wrapper and each of its texts takes the verdict of the part that it meets; a text that meets no part is judged
 by its own containers, in the same way.
 
-Wrappers come from at most SAMPLE pages of a host, those of the smallest seeded hashes: partitions keep so many of
-each host, in two rounds, so that no task gathers a host. All pages are then extracted by their host's wrapper, which
-goes to the executors as a table if that is below MAX_BROADCAST bytes and is joined by host otherwise.
+All pages of a host take part in its wrapper: each partition aligns its own pages to a partial wrapper of each host,
+and the partial wrappers are aligned with each other in two rounds, so that no task gathers a host's pages. All pages
+are then extracted by their host's wrapper, which goes to the executors as a table if that is below MAX_BROADCAST
+bytes and is joined by host otherwise.
 """
 
 from __future__ import annotations
 
-import heapq
 import html
 import json
 import re
@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
-SAMPLE = 6
-SEED = 5
-#: Buckets of the first round in which a host's candidates are thinned out.
+#: Buckets of the first round in which a host's partial wrappers are merged.
 BUCKETS = 16
+#: Shapes of a host that a partition keeps apart before it aligns them; parts of a wrapper.
+MAX_SHAPES = 64
+MAX_NODES = 2000
 MAX_BROADCAST = 16 << 20
 #: Longest run of tokens that is sought as a repeated group.
 PERIOD = 6
@@ -161,11 +162,11 @@ def _told(symbol: str) -> bool:
     return tag in LEFT_OUT or "hidden" in words or not TELLING.isdisjoint(words)
 
 
-def fold(tokens: list[str], hashes: dict[int, int] | None = None) -> list[list]:
-    """Nodes [symbol, token places, hash of the text]; a repeated group's symbol is the tuple of its symbols."""
+def fold(tokens: list[str]) -> list[list]:
+    """Nodes [symbol, token places]; a repeated group's symbol is the tuple of its symbols."""
     out: list[list] = []
     for place, token in enumerate(tokens):
-        out.append([token, [place], (hashes or {}).get(place, 0)])
+        out.append([token, [place]])
         for n in range(1, PERIOD + 1):
             # Once more the group before?
             if len(out) > n and isinstance(out[-n - 1][0], tuple) and list(out[-n - 1][0]) == [x[0] for x in out[-n:]]:
@@ -175,7 +176,7 @@ def fold(tokens: list[str], hashes: dict[int, int] | None = None) -> list[list]:
                 break
             if len(out) >= 2 * n and all(isinstance(x[0], str) for x in out[-2 * n :]) and [x[0] for x in out[-2 * n : -n]] == [x[0] for x in out[-n:]]:
                 body = out[-2 * n :]
-                out[-2 * n :] = [[tuple(x[0] for x in body[n:]), sorted(p for x in body for p in x[1]), 0]]
+                out[-2 * n :] = [[tuple(x[0] for x in body[n:]), sorted(p for x in body for p in x[1])]]
                 break
     return out
 
@@ -221,41 +222,57 @@ def align(wrapper: list, page: list) -> list[tuple[int | None, int | None]]:
 class Wrapper:
     """nodes: [symbol, optional, pages that have it, hash of a text that all of them share or 0, words, path]."""
 
-    def __init__(self):
-        self.nodes: list[list] = []
-        self.pages = 0
-
-    def add(self, skeleton: dict) -> None:
-        """skeleton: tokens, and of each text its place, path, hash and number of words."""
-        of = {t[0]: t for t in skeleton["texts"]}
-        page = fold(skeleton["tokens"], {k: t[2] for k, t in of.items()})
-        new = []
-        for symbol, places, digest in page:
-            texts = [of[p] for p in places if p in of]
-            new.append([symbol, False, 1, digest if len(texts) == 1 else 0, sum(t[3] for t in texts), tuple(texts[0][1]) if texts else None])
-        self.pages += 1
-        if self.pages == 1:
-            self.nodes = new
+    def __init__(self, nodes: list[list] | None = None, pages: int = 0):
+        self.nodes, self.pages = nodes or [], pages
+
+    @classmethod
+    def of(cls, page: Page) -> Wrapper:
+        texts = {place: (path, text) for place, path, text in page.texts}
+        nodes = []
+        for symbol, places in fold(page.tokens):
+            own = [texts[k] for k in places if k in texts]
+            digest = xxhash.xxh32_intdigest(own[0][1].encode("utf-8", "replace")) or 1 if len(own) == 1 else 0
+            nodes.append([symbol, False, 1, digest, sum(len(t.split()) for _, t in own), own[0][0] if own else None])
+        return cls(nodes, 1)
+
+    @classmethod
+    def read(cls, text: str) -> Wrapper:
+        pages, nodes = json.loads(text)
+        return cls([[tuple(n[0]) if isinstance(n[0], list) else n[0], *n[1:5], tuple(n[5]) if n[5] is not None else None] for n in nodes], pages)
+
+    def written(self) -> str:
+        return json.dumps([self.pages, self.nodes])
+
+    def shape(self) -> tuple:
+        return tuple(n[0] for n in self.nodes)
+
+    def add(self, other: Wrapper) -> None:
+        """Aligns the other's nodes with its own: what only one side has becomes optional, texts that differ slots."""
+        if not self.pages:
+            self.nodes, self.pages = other.nodes, other.pages
             return
         merged: list[list] = []
-        last = (None, None)
-        for i, j in align(self.nodes, new):
-            if i is None:
-                merged.append([new[j][0], True, *new[j][2:]])
-            elif j is None:
-                merged.append([self.nodes[i][0], True, *self.nodes[i][2:]])
+        last: tuple = (None, None)
+        same = self.shape() == other.shape()
+        for i, j in ((k, k) for k in range(len(self.nodes))) if same else align(self.nodes, other.nodes):
+            if i is None or j is None:
+                only = other.nodes[j] if i is None else self.nodes[i]
+                merged.append([only[0], True, *only[2:]])
             else:
-                old, own = self.nodes[i], new[j]
-                if last[0] == i:  # another token of a turn of the same group
-                    merged[-1][4] += own[4]
-                    merged[-1][5] = merged[-1][5] or own[5]
-                elif last[1] == j:  # the group takes a turn of single tokens
-                    merged[-1][4] += old[4]
-                    merged[-1][5] = merged[-1][5] or old[5]
+                old, own = self.nodes[i], other.nodes[j]
+                if last[0] == i or last[1] == j:  # a further token of a group's turn
+                    more = own if last[0] == i else old
+                    merged[-1][4] += more[4]
+                    merged[-1][5] = merged[-1][5] or more[5]
                 else:
                     symbol = old[0] if isinstance(old[0], tuple) else own[0]
-                    merged.append([symbol, old[1], old[2] + 1, old[3] if old[3] == own[3] else 0, old[4] + own[4], old[5] or own[5]])
+                    merged.append([symbol, old[1] or own[1], old[2] + own[2], old[3] if old[3] == own[3] else 0, old[4] + own[4], old[5] or own[5]])
             last = (i, j)
+        self.pages += other.pages
+        if len(merged) > MAX_NODES:
+            # The rarest optional parts go; texts that would meet them are judged by their own containers.
+            least = sorted((n[2] for n in merged), reverse=True)[MAX_NODES]
+            merged = [n for n in merged if not n[1] or n[2] > least]
         self.nodes = merged
 
     def finished(self) -> list[list]:
@@ -326,52 +343,42 @@ def extract(source: str | None, wrapper: list | None) -> str:
     return "\n".join(text for place, path, text in page.texts if (verdicts.get(place, True) and own(path) if own.marked else verdicts.get(place, own(path))))
 
 
-def _skeleton(source: str | None) -> dict:
-    page = Page(source)
-    return {"tokens": page.tokens, "texts": [[p, path, xxhash.xxh32_intdigest(t.encode("utf-8", "replace")) or 1, len(t.split())] for p, path, t in page.texts]}
-
-
-def _skeletons(batches):
-    """Of rows (url, html, hash): the skeletons of the SAMPLE smallest hashes of each host in the partition."""
-    best: dict[str, list] = defaultdict(list)
-    for batch in batches:
-        hosts = [host_of(x) for x in batch.column(0).to_pylist()]
-        for k, (host, order) in enumerate(zip(hosts, batch.column(2).to_pylist(), strict=True)):
-            heap = best[host]
-            if len(heap) < SAMPLE or -order > heap[0][0]:
-                entry = (-order, json.dumps(_skeleton(batch.column(1)[k].as_py())))
-                (heapq.heappush if len(heap) < SAMPLE else heapq.heapreplace)(heap, entry)
-    yield from _kept(best)
-
-
-def _kept(best):
-    for host, heap in best.items():
-        yield pa.RecordBatch.from_arrays([pa.array([host] * len(heap)), pa.array([-x for x, _ in heap], pa.int64()), pa.array([s for _, s in heap])], ["host", "h", "skeleton"])
+def joined(parts) -> Wrapper:
+    """One wrapper of many: those of one shape first, each shape's sum then one after another."""
+    by_shape: dict[tuple, Wrapper] = {}
+    for part in parts:
+        by_shape.setdefault(part.shape(), Wrapper()).add(part)
+    out = Wrapper()
+    for part in sorted(by_shape.values(), key=lambda w: (-w.pages, w.written())):
+        out.add(part)
+    return out
 
 
-def _thinned(batches):
-    best: dict[str, list] = defaultdict(list)
+def _partial(batches):
+    """Of rows (url, html): the wrapper that a partition's pages of each host make, one page after another."""
+    shapes: dict[str, dict[tuple, Wrapper]] = defaultdict(dict)
     for batch in batches:
-        for host, order, skeleton in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            heap = best[host]
-            if len(heap) < SAMPLE:
-                heapq.heappush(heap, (-order, skeleton))
-            elif (-order, skeleton) > heap[0]:
-                heapq.heapreplace(heap, (-order, skeleton))
-    yield from _kept(best)
+        for url, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own, part = shapes[host_of(url)], Wrapper.of(Page(source.as_py()))
+            own.setdefault(part.shape(), Wrapper()).add(part)
+            if len(own) > MAX_SHAPES:
+                whole = joined(own.values())
+                own.clear()
+                own[whole.shape()] = whole
+    for host, own in shapes.items():
+        yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([joined(own.values()).written()])], ["host", "wrapper"])
 
 
-def infer(skeletons: list[dict]) -> list[list]:
-    wrapper = Wrapper()
-    for s in skeletons:
-        wrapper.add(s)
-    return wrapper.finished()
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """A bucket of a host's partial wrappers as one."""
+    whole = joined(Wrapper.read(x) for x in sorted(rows["wrapper"]))
+    return pd.DataFrame({"host": [rows["host"].iat[0]], "wrapper": [whole.written()]})
 
 
-def _inferred(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of at most BUCKETS * SAMPLE skeletons of a host."""
-    rows = rows.sort_values(["h", "skeleton"]).head(SAMPLE)
-    return pd.DataFrame({"host": [rows["host"].iat[0]], "wrapper": [json.dumps(infer([json.loads(x) for x in rows["skeleton"]]))]})
+def _finished(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a host's buckets, BUCKETS at most: the wrapper with its verdicts."""
+    whole = joined(Wrapper.read(x) for x in sorted(rows["wrapper"]))
+    return pd.DataFrame({"host": [rows["host"].iat[0]], "wrapper": [json.dumps(whole.finished())]})
 
 
 def _nodes(text: str | None) -> list | None:
@@ -381,12 +388,10 @@ def _nodes(text: str | None) -> list | None:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper): a JSON text of the wrapper of each host of `pages` (page_id, url, html)."""
-    # Shifted so that its negative is a long as well.
-    order = F.shiftright(F.xxhash64(F.lit(SEED), F.col("page_id"), F.col("url")), 1)
-    found = pages.select("url", "html", order.alias("h")).mapInArrow(_skeletons, "host string, h long, skeleton string")
-    bucket = F.pmod(F.col("h"), F.lit(BUCKETS))
-    found = found.repartition("host", bucket).mapInArrow(_thinned, "host string, h long, skeleton string")
-    return found.groupBy("host").applyInPandas(_inferred, "host string, wrapper string")
+    parts = pages.select("url", "html").mapInArrow(_partial, "host string, wrapper string")
+    bucket = F.pmod(F.xxhash64("wrapper"), F.lit(BUCKETS)).alias("bucket")
+    merged = parts.groupBy("host", bucket).applyInPandas(_merged, "host string, wrapper string")
+    return merged.groupBy("host").applyInPandas(_finished, "host string, wrapper string")
 
 
 _parsed: dict[tuple[str, str], list | None] = {}
