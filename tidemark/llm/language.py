@@ -27,9 +27,9 @@ from tidemark.llm.common import fresh, id_remainder, table
 
 MAX_PIECE = 8
 MAX_WORD = 32
-MAX_DOCS = 2400
+MAX_DOCS = 1600
 SEED = 7
-ROUNDS = 4
+ROUNDS = 3
 #: Least probability of a piece: the product over a whole pre-token stays within a double.
 FLOOR = 1e-8
 #: Pre-tokens that a worker keeps the scores of.
