@@ -94,14 +94,14 @@ def keyed_hashes(spark, sf):
     return _people(spark, sf).select("c_custkey", hmac_sha256(F.col("ssn"), b"tidemark").alias("hash"))
 
 
-@query()
+@query(f"WITH {PEOPLE} SELECT c_custkey, account, account AS back, true AS differs FROM p")
 def account_tokens(spark, sf):
     """Repeatable tokens, joined on and turned back: every account finds itself."""
     key = derive_key(DEMO_PASSWORD, DEMO_SALT, 1000)
     token = pii.tokenize(F.col("account"), "account_number", F.lit(key), key)
     p = _people(spark, sf).select("c_custkey", "account")
     a, b = p.select("c_custkey", token.alias("token")), p.select(F.col("account"), token.alias("token"))
-    return a.join(b, "token").select("c_custkey", "account", "token", pii.decrypt(F.col("token"), F.lit(key)).alias("back"))
+    return a.join(b, "token").select("c_custkey", "account", pii.decrypt(F.col("token"), F.lit(key)).alias("back"), (F.col("token") != F.col("account")).alias("differs"))
 
 
 @query(f"WITH {PEOPLE} SELECT c_custkey, account AS back, true AS differs, NULL::VARCHAR AS of_garbage FROM p")
