@@ -1,8 +1,9 @@
 """HTML main text by wrappers inferred from the pages of a host.
 
-A page is a stream of tokens: opening and closing containers, blocks, and texts. Equal neighbouring runs of tokens
+A page is a stream of tokens: opening and closing containers, blocks, and texts, each with the containers that it is
+in, so that parts meet only within equal containers. Equal neighbouring runs of tokens
 fold into repeated groups. The wrapper of a host begins as the folded stream of one page and is aligned with those of
-others of the host, one after another: what both have stays, what only one has becomes optional, a run that meets
+others of the host, one after another, so that most tokens meet: what both have stays, what only one has becomes optional, a run that meets
 its repeated group joins it, and a text that differs from page to page becomes a slot. The result is a regular
 expression without unions: sequence, optional parts, repeated groups, text slots.
 
@@ -10,7 +11,7 @@ The wrapper says where a host's article is: the place of the slots with the most
 article or main part, less what its containers tell to be menus, headers, footers, sidebars, notices, adverts, forms
 or comments, and less text outside an article that every page of the host has alike. A page is aligned with its
 host's wrapper and each of its texts takes the verdict of the part that it meets; a text that meets no part is judged
-by its own containers, in the same way.
+by its own containers, in the same way, and so are all texts of a page that has an article or main part itself.
 
 All pages of a host take part in its wrapper: each partition aligns its own pages to a partial wrapper of each host,
 and the partial wrappers are aligned with each other in two rounds, so that no task gathers a host's pages. All pages
@@ -26,6 +27,7 @@ import re
 import uuid
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -42,8 +44,8 @@ MAX_NODES = 2000
 MAX_BROADCAST = 16 << 20
 #: Longest run of tokens that is sought as a repeated group.
 PERIOD = 6
-#: Tokens to look ahead for the next meeting of two streams.
-AHEAD = 24
+#: Rows of an alignment that are kept at once; of the others every so many-th is.
+ROWS = 256
 #: Pages with the same text outside an article that make it a fixed part.
 FIXED = 3
 
@@ -92,22 +94,34 @@ def _symbol(tag: str, rest: str) -> str:
     return ".".join([tag, *sorted(words)])
 
 
+def _within(keys: list[str], symbol: str) -> str:
+    """The key of a container in those with `keys`; the words of body, main and article, which often are a page's own,
+    don't count."""
+    tag = symbol.split(".", 1)[0]
+    return f"{xxhash.xxh32_intdigest((keys[-1] if keys else '') + '/' + (tag if tag == 'body' or tag in ARTICLE else symbol)):x}"
+
+
 class Page:
-    """tokens: symbols of containers, their ends, blocks and texts. texts: (token, path of containers, text)."""
+    """tokens: symbols of containers, their ends, blocks and texts, each with the key of the containers that it is in.
+    texts: (token, path of containers, text)."""
 
     def __init__(self, source: str | None):
         self.tokens: list[str] = []
         self.texts: list[tuple[int, tuple[str, ...], str]] = []
         path: list[str] = []
+        keys: list[str] = []
         held: list[str] = []
 
+        def add(symbol):
+            self.tokens.append(f"{symbol}@{keys[-1]}" if keys else symbol)
+
         def flush():
             if held:
                 text = " ".join("".join(held).split())
                 held.clear()
                 if text:
                     self.texts.append((len(self.tokens), tuple(path), text))
-                    self.tokens.append(TEXT)
+                    add(TEXT)
 
         source, at = source or "", 0
         while m := _TOKEN.match(source, at):
@@ -140,19 +154,23 @@ class Page:
             flush()
             if not close and not inline and path and tag in IMPLIED.get(tags[-1], ()):
                 path.pop()
-                self.tokens.append("/" + tags.pop())
+                keys.pop()
+                add("/" + tags.pop())
             if close and tag in tags:
                 del path[len(tags) - 1 - tags[::-1].index(tag) :]
-                self.tokens.append("/" + tag)
+                del keys[len(path) :]
+                add("/" + tag)
             elif not close and (told or tag in CONTAINERS):
                 if tag in ARTICLE and not ARTICLE.intersection(tags):
                     # What should have been closed before an article doesn't hold it.
                     while path and _told(path[-1]):
                         path.pop()
+                        keys.pop()
+                add(tag if tag == "body" or tag in ARTICLE else symbol)
                 path.append(symbol)
-                self.tokens.append(symbol)
+                keys.append(_within(keys, symbol))
             elif not close and tag not in ("br", "html", "hr"):
-                self.tokens.append(tag)
+                add(tag)
         flush()
 
 
@@ -181,46 +199,94 @@ def fold(tokens: list[str]) -> list[list]:
     return out
 
 
-def _meets(a, b) -> bool:
-    """Whether two symbols are one part: equal, or a group of one and its single symbol."""
-    return a == b or (isinstance(a, tuple) and len(a) == 1 and a[0] == b) or (isinstance(b, tuple) and len(b) == 1 and b[0] == a)
-
-
-def _turn(a: list, i: int, b: list, j: int) -> int:
-    """How many nodes of b, from j on, are one turn of the group a[i]; 0 if they aren't or it is no group."""
-    group = a[i][0]
-    return len(group) if isinstance(group, tuple) and [x[0] for x in b[j : j + len(group)]] == list(group) else 0
-
-
 def align(wrapper: list, page: list) -> list[tuple[int | None, int | None]]:
-    """Pairs of places in both, in order; None where the other side has no part. A group also takes the run of single
-    tokens that is one turn of it."""
+    """Pairs of places in both, in order; None where the other side has no part. Nodes meet if their symbols are equal,
+    a group of one and its single symbol too; a group also takes the run of single nodes that is one turn of it. Of all
+    alignments it is one in which most symbols meet."""
+    codes: dict = {}
+
+    def coded(nodes):
+        return [codes.setdefault(x[0] if isinstance(x, tuple) and len(x) == 1 else x, len(codes)) for x, *_ in nodes]
+
+    a, b = coded(wrapper), coded(page)
+    start, a_end, b_end = 0, len(a), len(b)
+    while start < a_end and start < b_end and a[start] == b[start]:
+        start += 1
+    while start < a_end and start < b_end and a[a_end - 1] == b[b_end - 1]:
+        a_end, b_end = a_end - 1, b_end - 1
+    middle = _best(wrapper[start:a_end], a[start:a_end], page[start:b_end], b[start:b_end], codes)
+    shifted = [(x if x is None else x + start, y if y is None else y + start) for x, y in middle]
+    return [(k, k) for k in range(start)] + shifted + list(zip(range(a_end, len(a)), range(b_end, len(b)), strict=True))
+
+
+def _best(wrapper: list, a: list[int], page: list, b: list[int], codes: dict) -> list[tuple[int | None, int | None]]:
+    """align() by dynamic programming from the ends of both. ROWS rows are held at once: of the others only those that
+    a block of rows is computed again from."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return [(k, None) for k in range(n)] + [(None, k) for k in range(m)]
+
+    def turns(nodes):
+        return {k: [codes.get(s, -1) for s in x[0]] for k, x in enumerate(nodes) if isinstance(x[0], tuple) and len(x[0]) > 1}
+
+    at, mine, theirs = np.array(b), turns(wrapper), turns(page)
+    kinds = {b[j]: turn for j, turn in theirs.items()}
+
+    def moves(i):
+        """(rows and columns further, symbols that meet, columns where they do) of row i."""
+        yield 1, 1, len(mine.get(i, "1")), np.flatnonzero(at == a[i])
+        if (turn := mine.get(i)) and len(turn) <= m:
+            fits = np.logical_and.reduce([at[x : m - len(turn) + 1 + x] == code for x, code in enumerate(turn)])
+            yield 1, len(turn), len(turn), np.flatnonzero(fits)
+        for code, turn in kinds.items():
+            if a[i : i + len(turn)] == turn:
+                yield len(turn), 1, len(turn), np.flatnonzero(at == code)
+
+    def rows(stop, below):
+        """By row and column, how many symbols meet from there on: rows of the block before `stop`, and `below`."""
+        out = dict(below)
+        for i in range(stop - 1, max(0, stop - ROWS) - 1, -1):
+            row = out[i + 1].copy()
+            for down, right, gain, columns in moves(i):
+                row[columns] = np.maximum(row[columns], out[i + down][columns + right] + gain)
+            out[i] = np.maximum.accumulate(row[::-1])[::-1]
+        return out
+
+    below, blocks = {n: np.zeros(m + 1, np.int32)}, []
+    for stop in range(n, 0, -ROWS):
+        blocks.append((stop, below))
+        score = rows(stop, below)
+        first = max(0, stop - ROWS)
+        below = {k: score[k] for k in range(first, min(n, first + PERIOD - 1) + 1)}
+    stop, _ = blocks.pop()
     out: list[tuple[int | None, int | None]] = []
     i = j = 0
-
-    def meet(x, y):
-        return x < len(wrapper) and y < len(page) and (_meets(wrapper[x][0], page[y][0]) or _turn(wrapper, x, page, y) or _turn(page, y, wrapper, x))
-
-    while i < len(wrapper) and j < len(page):
-        if _meets(wrapper[i][0], page[j][0]):
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif n := _turn(wrapper, i, page, j):
-            out += [(i, j + k) for k in range(n)]
-            i, j = i + 1, j + n
-        elif n := _turn(page, j, wrapper, i):
-            out += [(i + k, j) for k in range(n)]
-            i, j = i + n, j + 1
+    while i < n and j < m:
+        while i >= stop:
+            stop, below = blocks.pop()
+            score = rows(stop, below) if i < stop else score
+        if a[i] == b[j] and score[i][j] == score[i + 1][j + 1] + len(mine.get(i, "1")):
+            down, right = 1, 1
+        elif i in mine and b[j : j + len(mine[i])] == mine[i] and score[i][j] == score[i + 1][j + len(mine[i])] + len(mine[i]):
+            down, right = 1, len(mine[i])
+        elif j in theirs and a[i : i + len(theirs[j])] == theirs[j] and score[i][j] == score[i + len(theirs[j])][j + 1] + len(theirs[j]):
+            down, right = len(theirs[j]), 1
+        elif score[i][j] == score[i + 1][j]:
+            out.append((i, None))
+            i += 1
+            continue
         else:
-            ahead = ((x, total - x) for total in range(1, AHEAD + 1) for x in range(total + 1))
-            x, y = next(((x, y) for x, y in ahead if meet(i + x, j + y)), (len(wrapper) - i, len(page) - j))
-            out += [(k, None) for k in range(i, i + x)] + [(None, k) for k in range(j, j + y)]
-            i, j = i + x, j + y
-    return out + [(k, None) for k in range(i, len(wrapper))] + [(None, k) for k in range(j, len(page))]
+            out.append((None, j))
+            j += 1
+            continue
+        out += [(i + x, j + y) for x in range(down) for y in range(right)]
+        i, j = i + down, j + right
+    return out + [(k, None) for k in range(i, n)] + [(None, k) for k in range(j, m)]
 
 
 class Wrapper:
-    """nodes: [symbol, optional, pages that have it, hash of a text that all of them share or 0, words, path]."""
+    """nodes: [symbol, optional, pages that have it, hash of a text that all of them share or 0, words, [token, path,
+    words] of each kind of text in it]."""
 
     def __init__(self, nodes: list[list] | None = None, pages: int = 0):
         self.nodes, self.pages = nodes or [], pages
@@ -232,13 +298,17 @@ class Wrapper:
         for symbol, places in fold(page.tokens):
             own = [texts[k] for k in places if k in texts]
             digest = xxhash.xxh32_intdigest(own[0][1].encode("utf-8", "replace")) or 1 if len(own) == 1 else 0
-            nodes.append([symbol, False, 1, digest, sum(len(t.split()) for _, t in own), own[0][0] if own else None])
+            kinds: dict[str, list] = {}
+            for k in places:
+                if k in texts:
+                    kinds.setdefault(page.tokens[k], [*texts[k][:1], 0])[1] += len(texts[k][1].split())
+            nodes.append([symbol, False, 1, digest, [[token, *kind] for token, kind in kinds.items()]])
         return cls(nodes, 1)
 
     @classmethod
     def read(cls, text: str) -> Wrapper:
         pages, nodes = json.loads(text)
-        return cls([[tuple(n[0]) if isinstance(n[0], list) else n[0], *n[1:5], tuple(n[5]) if n[5] is not None else None] for n in nodes], pages)
+        return cls([[tuple(n[0]) if isinstance(n[0], list) else n[0], *n[1:4], [[token, tuple(path), words] for token, path, words in n[4]]] for n in nodes], pages)
 
     def written(self) -> str:
         return json.dumps([self.pages, self.nodes])
@@ -262,11 +332,10 @@ class Wrapper:
                 old, own = self.nodes[i], other.nodes[j]
                 if last[0] == i or last[1] == j:  # a further token of a group's turn
                     more = own if last[0] == i else old
-                    merged[-1][4] += more[4]
-                    merged[-1][5] = merged[-1][5] or more[5]
+                    merged[-1][4] = _sum(merged[-1][4], more[4])
                 else:
                     symbol = old[0] if isinstance(old[0], tuple) else own[0]
-                    merged.append([symbol, old[1] or own[1], old[2] + own[2], old[3] if old[3] == own[3] else 0, old[4] + own[4], old[5] or own[5]])
+                    merged.append([symbol, old[1] or own[1], old[2] + own[2], old[3] if old[3] == own[3] else 0, _sum(old[4], own[4])])
             last = (i, j)
         self.pages += other.pages
         if len(merged) > MAX_NODES:
@@ -276,18 +345,23 @@ class Wrapper:
         self.nodes = merged
 
     def finished(self) -> list[list]:
-        """[symbol, optional, verdict] by node; the verdict of a node without text is None."""
-        inside = Main([(n[5], n[4]) for n in self.nodes if n[5] is not None])
+        """[symbol, optional, verdicts by token of text] by node."""
+        inside = Main([(path, words) for n in self.nodes for _, path, words in n[4]])
         out = []
-        for symbol, optional, pages, digest, _, path in self.nodes:
-            verdict = None
-            if path is not None:
-                fixed = digest and pages >= FIXED and pages == self.pages and not inside.marked
-                verdict = inside(path) and not fixed
-            out.append([symbol, optional, verdict])
+        for symbol, optional, pages, digest, kinds in self.nodes:
+            fixed = digest and pages >= FIXED and pages == self.pages and not inside.marked
+            out.append([symbol, optional, {token: inside(path) and not fixed for token, path, _ in kinds}])
         return out
 
 
+def _sum(kinds: list[list], more: list[list]) -> list[list]:
+    """The kinds of text of two parts."""
+    out = {token: [path, words] for token, path, words in kinds}
+    for token, path, words in more:
+        out.setdefault(token, [path, 0])[1] += words
+    return [[token, *kind] for token, kind in out.items()]
+
+
 class Main:
     """Judges texts by their containers: those in an article or main part, or, without one, in the smallest container
     that holds most of the text; containers that tell otherwise are left out."""
@@ -333,14 +407,16 @@ def extract(source: str | None, wrapper: list | None) -> str:
     if not page.texts:
         return ""
     verdicts: dict[int, bool] = {}
-    nodes = fold(page.tokens)
-    for i, j in align(wrapper, nodes) if wrapper else ():
-        if i is not None and j is not None and wrapper[i][2] is not None:
-            for place in nodes[j][1]:
-                verdicts.setdefault(place, wrapper[i][2])
     own = _own(page)
-    # A part of the wrapper speaks for texts that its containers don't contradict.
-    return "\n".join(text for place, path, text in page.texts if (verdicts.get(place, True) and own(path) if own.marked else verdicts.get(place, own(path))))
+    # No wrapper overrules an article of the page's own.
+    if wrapper and not own.marked:
+        nodes = fold(page.tokens)
+        for i, j in align(wrapper, nodes):
+            if i is not None and j is not None:
+                for place in nodes[j][1]:
+                    if (verdict := wrapper[i][2].get(page.tokens[place])) is not None:
+                        verdicts.setdefault(place, verdict)
+    return "\n".join(text for place, path, text in page.texts if verdicts.get(place, own(path)))
 
 
 def joined(parts) -> Wrapper:
