@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from tidemark.llm import html
 
 
@@ -29,3 +31,29 @@ def test_alignment_is_over_the_whole_length():
     a, b = ([[x, [k]] for k, x in enumerate(s)] for s in (["a", *common, "z"], ["a", *new[:300], *common, *new[300:], "c4", "y"]))
     met = [(a[i][0], b[j][0]) for i, j in html.align(a, b) if i is not None and j is not None]
     assert met == [(x, x) for x in ["a", *common]]
+
+
+ENTRY = "<h1>A title</h1><p>The first words of an entry</p><p>and some more of them</p>"
+MENU = "<nav>menu</nav>"
+AROUND = [
+    "<body class='single no-sidebar'><article>{}</article></body>",
+    "<body class='no-sidebar cookie-consent header-fixed'>{menu}<div id=page><article>{}</article></div><div class=sidebar>aside</div></body>",
+    "<body><form id='aspnetForm'>{menu}<div id=page><article>{}</article></div><div class=related><div><article>card</article></div></div></form></body>",
+    "<body><article class='post comment-open'>{}<div class=comments>a reply</div></article><article class=comment>a comment</article></body>",
+    "<body><div class='has-menu'><div><main class='search-enabled'>{}</main></div></div></body>",
+    "<body class='has-menu'>{menu}<div id=text>{}</div><div class=footer>imprint</div></body>",
+    "<body><form id='aspnetForm' class='search-enabled'>{menu}<div class=no-sidebar><div id=text>{}</div></div></form><footer>imprint</footer></body>",
+]
+
+
+@pytest.mark.parametrize("page", AROUND)
+def test_what_holds_the_text_does_not_leave_it_out(page):
+    page = page.format(ENTRY, menu=MENU)
+    want = "A title\nThe first words of an entry\nand some more of them"
+    assert html.extract(page, None) == want
+    assert html.extract(page, wrapper_of([page, page])) == want
+
+
+def test_comments_stay_out_where_they_are_longer():
+    page = f"<body><div id=text>{ENTRY}</div><div class=comments>{'a comment of many words ' * 20}</div></body>"
+    assert html.extract(page, None) == "A title\nThe first words of an entry\nand some more of them"

@@ -77,6 +77,8 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = re.compile(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)")
 
 TEXT = "#"
+#: What an attribute tells, not a word of a class.
+HIDDEN = "!hidden"
 
 
 def host_of(url: str | None) -> str:
@@ -90,7 +92,7 @@ def _symbol(tag: str, rest: str) -> str:
     for m in _ATTRIBUTE.finditer(rest) if rest else ():
         words.update(x.lower() for x in _PART.findall(m[2] or m[3] or m[4] or ""))
     if rest and _HIDDEN.search(rest):
-        words.add("hidden")
+        words.add(HIDDEN)
     return ".".join([tag, *sorted(words)])
 
 
@@ -175,9 +177,11 @@ class Page:
 
 
 def _told(symbol: str) -> bool:
-    """Whether a container tells that it holds no part of an article."""
+    """Whether a container tells that it holds no part of an article. Words of the body say how the page looks."""
     tag, *words = symbol.split(".")
-    return tag in LEFT_OUT or "hidden" in words or not TELLING.isdisjoint(words)
+    if tag == "body":
+        return False
+    return tag in LEFT_OUT or HIDDEN in words or (tag not in ARTICLE and "hidden" in words) or not TELLING.isdisjoint(words)
 
 
 def fold(tokens: list[str]) -> list[list]:
@@ -364,11 +368,22 @@ def _sum(kinds: list[list], more: list[list]) -> list[list]:
 
 class Main:
     """Judges texts by their containers: those in an article or main part, or, without one, in the smallest container
-    that holds most of the text; containers that tell otherwise are left out."""
+    that holds most of the text; containers that tell otherwise are left out.
+
+    An article, or a container around articles, doesn't tell if it holds half of their words or if all articles are in
+    such containers, and without articles not if it holds half of the page's words and next to nothing (a tenth of that) is left without it.
+    If everything is left out, the container with the most text doesn't tell."""
 
     def __init__(self, texts: list[tuple[tuple[str, ...], int]]):
-        usable = [(path, words) for path, words in texts if not self._left_out(path)]
-        self.marked = any(x.split(".")[0] in ARTICLE for path, _ in usable for x in path)
+        #: Paths of containers that don't tell.
+        self.silent: set[tuple[str, ...]] = set()
+        by_path: dict[tuple[str, ...], int] = defaultdict(int)
+        for path, words in texts:
+            by_path[tuple(path)] += words
+        if any(self._telling(path) for path in by_path):
+            self._hush(by_path.items())
+        usable = [(path, words) for path, words in by_path.items() if not self._telling(path)]
+        self.marked = any(_in_article(path) for path, _ in usable)
         self.root: tuple[str, ...] = ()
         if not self.marked:
             mass: dict[tuple[str, ...], int] = defaultdict(int)
@@ -377,24 +392,65 @@ class Main:
                     mass[path[:k]] += words
             whole = mass[()]
             self.root = max((p for p, n in mass.items() if 10 * n >= 7 * whole), key=len, default=())
-
-    @staticmethod
-    def _left_out(path) -> bool:
-        in_article = False
-        for x in path:
+        self.verdicts = {path: self._judged(path) for path in by_path}
+
+    def _hush(self, texts) -> None:
+        # Texts in articles that nothing within the article leaves out.
+        articles = [(path, words, self._telling(path[: _article(path) + 1])) for path, words in texts if _in_article(path)]
+        articles = [(path, words, outer) for path, words, outer in articles if all(len(x) <= _article(path) + 1 for x in self._telling(path))]
+        if articles:
+            held: dict[tuple[str, ...], int] = defaultdict(int)
+            for _, words, outer in articles:
+                for x in outer:
+                    held[x] += words
+            whole = sum(words for _, words, _ in articles)
+            self.silent = {x for x, n in held.items() if 2 * n >= whole}
+            if all(set(outer) - self.silent for _, _, outer in articles):
+                self.silent = set(held)
+            return
+        whole = sum(words for _, words in texts)
+        while True:
+            held = defaultdict(int)
+            usable = 0
+            for path, words in texts:
+                if outer := self._telling(path):
+                    held[outer[0]] += words
+                else:
+                    usable += words
+            # The first of the heaviest, whatever the order of texts.
+            most = min(held, key=lambda x: (-held[x], x), default=None)
+            if most is None or (usable and (2 * held[most] < whole or 10 * usable >= held[most])):
+                return
+            self.silent.add(most)
+
+    def _telling(self, path) -> list[tuple[str, ...]]:
+        """The containers of the path, as paths, that tell that it's left out."""
+        out, in_article = [], False
+        for k, x in enumerate(path):
             tag, *words = x.split(".")
-            if _told(x) or (not in_article and not OUTSIDE_ONLY.isdisjoint((tag, *words)) and OF_AN_ENTRY.isdisjoint(words)):
-                return True
+            plain = tag == "body" or tag in ARTICLE
+            if (_told(x) or (not plain and not in_article and not OUTSIDE_ONLY.isdisjoint((tag, *words)) and OF_AN_ENTRY.isdisjoint(words))) and path[: k + 1] not in self.silent:
+                out.append(path[: k + 1])
             in_article = in_article or tag in ARTICLE
-        return False
+        return out
 
-    def __call__(self, path) -> bool:
-        path = tuple(path)
-        if self._left_out(path):
+    def _judged(self, path) -> bool:
+        if self._telling(path):
             return False
-        if self.marked:
-            return any(x.split(".")[0] in ARTICLE for x in path)
-        return path[: len(self.root)] == self.root
+        return _in_article(path) if self.marked else path[: len(self.root)] == self.root
+
+    def __call__(self, path) -> bool:
+        """Of a path of the given texts."""
+        return self.verdicts[tuple(path)]
+
+
+def _article(path) -> int:
+    """The place of the outermost article or main part; the path's length without one."""
+    return next((k for k, x in enumerate(path) if x.split(".")[0] in ARTICLE), len(path))
+
+
+def _in_article(path) -> bool:
+    return _article(path) < len(path)
 
 
 def _own(page: Page) -> Main:
