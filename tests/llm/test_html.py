@@ -57,3 +57,34 @@ def test_what_holds_the_text_does_not_leave_it_out(page):
 def test_comments_stay_out_where_they_are_longer():
     page = f"<body><div id=text>{ENTRY}</div><div class=comments>{'a comment of many words ' * 20}</div></body>"
     assert html.extract(page, None) == "A title\nThe first words of an entry\nand some more of them"
+
+
+NOTICE = "<div><p>Call us any time</p><p>for a quote today</p></div>"
+OWN = "<div><p>Own words {n} of page {n} that differ a lot {n}</p><p>More of {n} and so on {n} again</p></div>"
+
+
+def own_words(n):
+    return f"Own words {n} of page {n} that differ a lot {n}\nMore of {n} and so on {n} again"
+
+
+def test_fixed_texts_go_though_some_pages_lack_them():
+    """An empty page, one of another layout and one with a text of its own in that place; the notice has two paragraphs."""
+    pages = [f"<body><div id=c1>{NOTICE}{OWN.format(n=n)}</div></body>" for n in range(20)]
+    pages += [None, "", "<body><table><tr><td>Other</td></tr></table></body>", f"<body><div id=c1><div><p>Closed</p><p>this week</p></div>{OWN.format(n=21)}</div></body>"]
+    wrapper = wrapper_of(pages)
+    assert [html.extract(p, wrapper) for p in pages[:20]] == [own_words(n) for n in range(20)]
+    assert html.extract(pages[-4], wrapper) == ""
+
+
+def test_fixed_texts_of_a_large_host():
+    """Own paragraphs and the notice are one repeated group; far more texts than are counted at once."""
+    pages = [f"<body><div id=c1><p>Call us any time</p>{''.join(f'<p>Own {n} {k}</p>' for k in range(5))}</div></body>" for n in range(400)]
+    whole = html.joined(html.Wrapper.of(html.Page(p)) for p in pages)
+    assert whole.pages == 400 and all(len(n[3][0]) < 400 and n[3][1] <= n[2] / html.LOST for n in whole.nodes)
+    wrapper = wrapper_of(pages)
+    assert all(html.extract(p, wrapper) == "\n".join(f"Own {n} {k}" for k in range(5)) for n, p in enumerate(pages))
+
+
+def test_copies_of_a_page_are_not_all_fixed():
+    pages = [f"<body><div id=c1>{OWN.format(n=1)}</div></body>"] * 4
+    assert html.extract(pages[0], wrapper_of(pages)) == own_words(1)

@@ -9,7 +9,7 @@ expression without unions: sequence, optional parts, repeated groups, text slots
 
 The wrapper says where a host's article is: the place of the slots with the most text, or what is marked as an
 article or main part, less what its containers tell to be menus, headers, footers, sidebars, notices, adverts, forms
-or comments, and less text outside an article that every page of the host has alike. A page is aligned with its
+or comments, and less text outside an article that most pages of the host that have the part have alike. A page is aligned with its
 host's wrapper and each of its texts takes the verdict of the part that it meets; a text that meets no part is judged
 by its own containers, in the same way, and so are all texts of a page that has an article or main part itself.
 
@@ -48,6 +48,8 @@ PERIOD = 6
 ROWS = 256
 #: Pages with the same text outside an article that make it a fixed part.
 FIXED = 3
+#: Texts of a part that are counted before the rarest are dropped, which may miss a LOST-th of the part's pages at most.
+COUNTED, LOST = 64, 8
 
 # Elements by what they are to a text.
 CONTAINERS = set("body div section article main aside nav header footer form ul ol dl table figure blockquote details dialog menu fieldset hgroup search".split())
@@ -289,8 +291,8 @@ def _best(wrapper: list, a: list[int], page: list, b: list[int], codes: dict) ->
 
 
 class Wrapper:
-    """nodes: [symbol, optional, pages that have it, hash of a text that all of them share or 0, words, [token, path,
-    words] of each kind of text in it]."""
+    """nodes: [symbol, optional, pages that have it, [pages by hash of a text outside an article, pages that such a count
+    may lack], [token, path, words] of each kind of text in it]. pages: those with tokens."""
 
     def __init__(self, nodes: list[list] | None = None, pages: int = 0):
         self.nodes, self.pages = nodes or [], pages
@@ -300,14 +302,16 @@ class Wrapper:
         texts = {place: (path, text) for place, path, text in page.texts}
         nodes = []
         for symbol, places in fold(page.tokens):
-            own = [texts[k] for k in places if k in texts]
-            digest = xxhash.xxh32_intdigest(own[0][1].encode("utf-8", "replace")) or 1 if len(own) == 1 else 0
             kinds: dict[str, list] = {}
+            counts: dict[str, int] = {}
             for k in places:
                 if k in texts:
-                    kinds.setdefault(page.tokens[k], [*texts[k][:1], 0])[1] += len(texts[k][1].split())
-            nodes.append([symbol, False, 1, digest, [[token, *kind] for token, kind in kinds.items()]])
-        return cls(nodes, 1)
+                    path, text = texts[k]
+                    kinds.setdefault(page.tokens[k], [path, 0])[1] += len(text.split())
+                    if not _in_article(path):
+                        counts[_digest(text)] = 1
+            nodes.append([symbol, False, 1, [counts, 0], [[token, *kind] for token, kind in kinds.items()]])
+        return cls(nodes, 1 if nodes else 0)
 
     @classmethod
     def read(cls, text: str) -> Wrapper:
@@ -322,8 +326,8 @@ class Wrapper:
 
     def add(self, other: Wrapper) -> None:
         """Aligns the other's nodes with its own: what only one side has becomes optional, texts that differ slots."""
-        if not self.pages:
-            self.nodes, self.pages = other.nodes, other.pages
+        if not self.pages or not other.pages:
+            self.nodes, self.pages = (self.nodes, self.pages) if self.pages else (other.nodes, other.pages)
             return
         merged: list[list] = []
         last: tuple = (None, None)
@@ -336,10 +340,11 @@ class Wrapper:
                 old, own = self.nodes[i], other.nodes[j]
                 if last[0] == i or last[1] == j:  # a further token of a group's turn
                     more = own if last[0] == i else old
+                    merged[-1][3] = _counted(merged[-1][3], more[3], merged[-1][2])
                     merged[-1][4] = _sum(merged[-1][4], more[4])
                 else:
                     symbol = old[0] if isinstance(old[0], tuple) else own[0]
-                    merged.append([symbol, old[1] or own[1], old[2] + own[2], old[3] if old[3] == own[3] else 0, _sum(old[4], own[4])])
+                    merged.append([symbol, old[1] or own[1], old[2] + own[2], _counted(old[3], own[3], old[2] + own[2]), _sum(old[4], own[4])])
             last = (i, j)
         self.pages += other.pages
         if len(merged) > MAX_NODES:
@@ -349,15 +354,31 @@ class Wrapper:
         self.nodes = merged
 
     def finished(self) -> list[list]:
-        """[symbol, optional, verdicts by token of text] by node."""
+        """[symbol, optional, verdicts by token of text, hashes of fixed texts] by node. Every text that more than half of
+        the pages with the node have is fixed."""
         inside = Main([(path, words) for n in self.nodes for _, path, words in n[4]])
         out = []
-        for symbol, optional, pages, digest, kinds in self.nodes:
-            fixed = digest and pages >= FIXED and pages == self.pages and not inside.marked
-            out.append([symbol, optional, {token: inside(path) and not fixed for token, path, _ in kinds}])
+        for symbol, optional, pages, (counts, lost), kinds in self.nodes:
+            fixed = [x for x, n in counts.items() if n + lost >= FIXED and 2 * (n + lost) > pages]
+            out.append([symbol, optional, {token: inside(path) for token, path, _ in kinds}, sorted(fixed)])
         return out
 
 
+def _digest(text: str) -> str:
+    return xxhash.xxh64_hexdigest(text.encode("utf-8", "replace"))
+
+
+def _counted(old: list, more: list, pages: int) -> list:
+    """The counts of texts of two parts, which `pages` have. Of too many texts the rarest go, by as much from all counts as
+    the pages allow."""
+    counts, lost = old[0], old[1] + more[1]
+    for x, n in more[0].items():
+        counts[x] = counts.get(x, 0) + n
+    if len(counts) > COUNTED and (less := pages // LOST - lost) > 0:
+        counts, lost = {x: n - less for x, n in counts.items() if n > less}, lost + less
+    return [counts, lost]
+
+
 def _sum(kinds: list[list], more: list[list]) -> list[list]:
     """The kinds of text of two parts."""
     out = {token: [path, words] for token, path, words in kinds}
@@ -463,6 +484,7 @@ def extract(source: str | None, wrapper: list | None) -> str:
     if not page.texts:
         return ""
     verdicts: dict[int, bool] = {}
+    fixed: dict[int, frozenset] = {}
     own = _own(page)
     # No wrapper overrules an article of the page's own.
     if wrapper and not own.marked:
@@ -472,7 +494,11 @@ def extract(source: str | None, wrapper: list | None) -> str:
                 for place in nodes[j][1]:
                     if (verdict := wrapper[i][2].get(page.tokens[place])) is not None:
                         verdicts.setdefault(place, verdict)
-    return "\n".join(text for place, path, text in page.texts if verdicts.get(place, own(path)))
+                        fixed.setdefault(place, wrapper[i][3])
+    main = [(place, text) for place, path, text in page.texts if verdicts.get(place, own(path))]
+    differing = [text for place, text in main if not fixed.get(place) or _digest(text) not in fixed[place]]
+    # A page that most pages are copies of isn't all fixed.
+    return "\n".join(differing or [text for _, text in main])
 
 
 def joined(parts) -> Wrapper:
@@ -515,7 +541,7 @@ def _finished(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _nodes(text: str | None) -> list | None:
     """A wrapper as the matcher reads it."""
-    return [[tuple(x[0]) if isinstance(x[0], list) else x[0], x[1], x[2]] for x in json.loads(text)] if text else None
+    return [[tuple(x[0]) if isinstance(x[0], list) else x[0], x[1], x[2], frozenset(x[3])] for x in json.loads(text)] if text else None
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
