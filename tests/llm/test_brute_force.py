@@ -7,7 +7,7 @@ import json
 import random
 import re
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -221,6 +221,44 @@ def test_large_budgets_are_met():
         assert all(0 <= t <= counts[x] for t, x in zip(taken, lengths, strict=True))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 10**6), st.integers(1, 3), min_size=1, max_size=4), st.floats(0, 1))
+def test_long_documents(counts, share):
+    """The nearest sum, as long as the programme has the whole budget or at most two documents are taken before it."""
+    lengths = sorted(counts)
+    every = [x for x, n in counts.items() for _ in range(n)]
+    budget = int(sum(every) * share)
+    taken = mixing.fit(lengths, [counts[x] for x in lengths], budget)
+    assert all(0 <= t <= counts[x] for t, x in zip(taken, lengths, strict=True))
+    total, best = sum(t * x for t, x in zip(taken, lengths, strict=True)), min(abs(sum(x * k for x, k in zip(lengths, ks, strict=True)) - budget) for ks in product(*[range(counts[x] + 1) for x in lengths]))
+    assert abs(total - budget) == best if budget <= mixing.KEEP else abs(total - budget) <= max(lengths) / 2
+
+
+def test_budgets_that_long_documents_meet():
+    assert mixing.fit([140_000, 150_000], [3, 3], 290_000) == [1, 1]
+    assert mixing.fit([200_000], [10], 980_000) == [5]
+    # No sum is odd; memory doesn't grow with the number of lengths.
+    taken = mixing.fit([2 * x for x in range(10, 300)], [50] * 290, 100_001)
+    assert abs(sum(2 * x * t for x, t in zip(range(10, 300), taken, strict=True)) - 100_001) == 1
+
+
+def test_a_mix_of_long_documents(spark):
+    rows = [(k, "w " * n, s) for k, (n, s) in enumerate([(140_000, "a"), (150_000, "a"), (140_000, "a"), (10, "b"), (700_000, "c")])]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in found:
+        sizes[rows[r["doc_id"]][2]] += r["size"]
+        taken[rows[r["doc_id"]][2]] += r["taken"]
+    assert_near(sizes, taken, plain_targets(sizes), lambda s: [x["size"] for x in found if rows[x["doc_id"]][2] == s])
+
+
+def test_many_sources(spark):
+    sizes = {f"host{k:04d}": 1 + k * k % 977 for k in range(700)} | {None: 5000}
+    rows = [(("1" if s is None else "0" + s), n) for s, n in sizes.items()]
+    found = {r["skey"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "skey string, source_size long").repartition(5)).collect()}
+    assert found == pytest.approx({("1" if s is None else "0" + s): x for s, x in plain_targets(sizes).items()})
+
+
 def plain_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}

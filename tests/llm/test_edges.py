@@ -56,6 +56,7 @@ def test_mixing_keeps_all_columns(spark):
     docs = cases.docs(spark).drop("copies", "taken")
     assert mixing.take(docs).columns == [*docs.columns, "copies", "taken"]
     assert mixing.take(cases.docs(spark)).columns == [*cases.docs(spark).columns, "_copies", "_taken"]
+    assert mixing.take(cases.docs(spark, [])).collect() == []
 
 
 def test_pages(spark):
