@@ -115,6 +115,31 @@ def test_index_finds_all_links(monkeypatch, longest):
     assert bool(rest) == (longest < 2048)
 
 
+def test_every_pair_that_reaches_the_minimum_meets():
+    """Any four of the eight positions have one of the lists' three among them."""
+    assert len(simhash.POSITION_SETS) == 20
+    assert all(any(set(ps) <= set(four) for ps in simhash.POSITION_SETS) for four in combinations(range(8), 4))
+
+
+def test_oversized_lists(spark):
+    """Lists that are split by a fourth position, and what is too long even then; a hub with most edges."""
+    rng = random.Random(9)
+    dense = sorted({0xABCDEF << 40 | rng.getrandbits(12) << 4 | k for k in range(16) for _ in range(40)} | {0xABCDEF << 40 | rng.getrandbits(40) for _ in range(2600)})
+    prints = drifting(200, 4) + dense
+    found = simhash.links(spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long").repartition(3)).collect()
+    pairs = [(r["a"] & 0xFFFFFFFFFFFFFFFF, r["b"] & 0xFFFFFFFFFFFFFFFF) for r in found]
+    assert all((a ^ b).bit_count() <= 4 for a, b in pairs)
+    values = np.array(prints, np.uint64)
+    links = [(int(x), int(y)) for k, x in enumerate(values) for y in values[k + 1 :][np.bitwise_count(values[k + 1 :] ^ x) <= 4]]
+    assert roots(prints, pairs) == roots(prints, links)
+
+
+def test_components_of_hubs(spark):
+    edges = [(1, i) for i in range(2, 3000)] + [(5000, i) for i in range(2500, 3500)] + [(7000, 7001)]
+    found = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
+    assert found == {**{i: 1 for i in [*range(2, 3500), 5000]}, 7001: 7000}
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(1, 400)] + [(1000, 999), (999, 998), (5, 5), (998, 1000)]
     found = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

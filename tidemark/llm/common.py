@@ -68,3 +68,17 @@ def id_remainder(column: str, divisor: int):
 def text_bytes(column: str = "text"):
     """The text as UTF-8 bytes, so that Python neither decodes it twice nor meets what it can't decode."""
     return F.col(column).cast("binary")
+
+
+#: A key is hot if it has more than this share of all rows; so there are fewer than 1 / HOT hot keys, which are broadcast.
+HOT = 0.001
+
+
+def join_counted(rows: DataFrame, known: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """`rows` joined with the row of `known` that each `key` has; known's column `count` says how many of `total` rows the
+    key has, and is dropped. Rows of hot keys meet a broadcast of these keys' rows where they are, the others by shuffle,
+    so no task gets more than its share of a key. Both frames are read twice. Null keys match none."""
+    hot = F.col(count) > HOT * total
+    few = F.broadcast(known.filter(hot).drop(count))  # fewer than 1 / HOT rows
+    rest = rows.join(few.select(key), key, "left_anti").join(known.filter(~hot).drop(count), key)
+    return rows.join(few, key).unionByName(rest)

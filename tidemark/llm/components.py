@@ -3,7 +3,7 @@
 Each round keys the edges by node and points neighbours at the smallest node seen (large star: the larger
 neighbours of every node; small star: the smaller ones), which keeps the components and ends in one star around
 the smallest node of each. Every step is a keyed minimum, which is combined before the shuffle, and a join with
-it, whose skewed keys adaptive execution splits. Before the first round each partition contracts its own edges
+it, in which hubs, the nodes of a thousandth of all edges, meet a broadcast of their minima instead of a shuffle. Before the first round each partition contracts its own edges
 to a spanning forest, which is linear in them.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import join_counted, materialise
 
 
 def contract(batches):
@@ -40,16 +40,17 @@ def contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], ["a", "b"])
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Of n edges."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return join_counted(both.filter("b > a"), least, "a", "n", 2 * n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """Needs a > b in every edge, as large_star() leaves them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Needs a > b in every edge, as large_star() leaves them; n edges."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_counted(edges, least, "a", "n", n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -65,7 +66,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.mapInArrow(contract, "a long, b long").distinct())
     before = state(edges)
     while before[0]:
-        edges = materialise(small_star(large_star(edges)))
+        moved = materialise(large_star(edges, before[0]))
+        edges = materialise(small_star(moved, before[0]))
         after = state(edges)
         if after == before:
             break

@@ -1,15 +1,15 @@
 """SimHash near-duplicates: 64-bit fingerprints, linked where at most `max_bits` bits differ.
 
-Links come from a byte-position inverted index with count filtering. At most 4 differing bits touch at most 4 of
-the 8 bytes, so linked fingerprints share at least 4 positional bytes; that is the guaranteed minimum. Posting
-lists of single bytes would hold a 256th of all fingerprints each, and tallying their pairs would grow with the
-square of the corpus. The lists are therefore kept for every set of 4 positions, 70 of them: fingerprints in one
-such list share those 4 bytes, so only pairs that reach the minimum tally ever meet, and every pair that reaches
-it meets in the list of its first 4 shared positions. Met pairs are verified by their differing bits.
+Links come from a byte-position inverted index with count filtering. At most 4 differing bits touch at most 4 of the 8
+bytes, so linked fingerprints share at least 4 positional bytes; that is the guaranteed minimum. The posting list of a
+single byte would hold a 256th of all fingerprints, and tallying its pairs would grow with the square of the corpus. So
+each list is split by two further positions: a list is of three positions and their bytes. Not all 56 sets of three are
+needed, as 20 of them are such that any four positions have one of them among them. Of each pair that meets in a list the shared
+positional bytes are tallied, pairs that reach the minimum are retained, and their differing bits are counted.
 
 The index holds distinct fingerprints: exact copies are one entry each. A list is never expanded into all its
-pairs: short lists give their linked pairs once, by the tally; longer ones give a spanning forest of their links;
-lists over MAX_RUN are dealt out as pairs of blocks, so that no task holds more than two blocks.
+pairs: short lists give their linked pairs once; longer ones give a spanning forest of their links; lists over MAX_RUN are
+split by a fourth position, and what is longer even then is dealt out as pairs of blocks, so that no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, materialise, table, text_bytes
+from tidemark.llm.common import fresh, join_counted, materialise, table, text_bytes
 from tidemark.llm.components import connected_components, popcount
 
 SEED = 42
@@ -36,9 +36,25 @@ BLOCK = 1 << 16
 #: Entries of a posting list that one task compares; longer lists go on as pairs of blocks of this size.
 MAX_RUN = 2048
 
-POSITION_SETS = list(combinations(range(BYTES), MIN_SHARED))
-#: As signed longs, the type of Spark's columns.
-MASKS = [int(np.uint64(sum(0xFF << 8 * p for p in ps)).astype(np.int64)) for ps in POSITION_SETS]
+#: Turan's sets: the positions in three groups in a circle; all of one group, or two of one and one of the next.
+GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+
+
+def _position_sets() -> list[tuple[int, ...]]:
+    after = {p: set(GROUPS[(g + 1) % len(GROUPS)]) for g, group in enumerate(GROUPS) for p in group}
+    group_of = {p: set(group) for group in GROUPS for p in group}
+    return [ps for ps in combinations(range(BYTES), MIN_SHARED - 1) if any(len(group_of[p] & set(ps)) == 3 or (len(group_of[p] & set(ps)) == 2 and len(after[p] & set(ps)) == 1) for p in ps)]
+
+
+def _mask(positions) -> int:
+    """As a signed long, the type of Spark's columns."""
+    return int(np.uint64(sum(0xFF << 8 * p for p in positions)).astype(np.int64))
+
+
+POSITION_SETS = _position_sets()
+MASKS = [_mask(ps) for ps in POSITION_SETS]
+#: By the set of shared positions, as the bits of a byte: the mask of the first list that holds the pair; 0 below the minimum.
+FIRST = np.array([next((_mask(ps) for ps in POSITION_SETS if all(x >> p & 1 for p in ps)), 0) if x.bit_count() >= MIN_SHARED else 0 for x in range(1 << BYTES)], np.int64).view(np.uint64)
 
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _OFFSETS = (np.arange(8) * 256).astype(np.int64)
@@ -83,6 +99,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprint_batches, f"doc_id {kind}, mark long, fp long")
 
 
+def _tally(x: np.ndarray) -> np.ndarray:
+    """Of differences of fingerprints: the positions in which the bytes agree, as the bits of a byte."""
+    return np.packbits(np.ascontiguousarray(x).view(np.uint8).reshape(-1, BYTES) == 0, axis=1, bitorder="little").ravel()
+
+
+def _links(x: np.ndarray) -> np.ndarray:
+    """Which differences are of linked pairs: enough shared positional bytes, and then few enough bits."""
+    out = FIRST[_tally(x)] != 0
+    out[out] = popcount(x[out]) <= MAX_BITS
+    return out
+
+
 def _forest(values: np.ndarray) -> tuple[list, list]:
     """Edges of a spanning forest of the links among `values`."""
     rest, a, b = values, [], []
@@ -90,7 +118,7 @@ def _forest(values: np.ndarray) -> tuple[list, list]:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             x = frontier.pop()
-            near = popcount(rest ^ x) <= MAX_BITS
+            near = _links(rest ^ x)
             if near.any():
                 found, rest = rest[near], rest[~near]
                 a += [int(x)] * len(found)
@@ -99,14 +127,6 @@ def _forest(values: np.ndarray) -> tuple[list, list]:
     return a, b
 
 
-def _first_set(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The mask of the first MIN_SHARED positions in which the bytes agree: the tally decides in which list a
-    pair counts."""
-    same = (x ^ y).view(np.uint8).reshape(-1, BYTES) == 0
-    first = same & (np.cumsum(same, axis=1) <= MIN_SHARED)
-    return (first * np.uint8(255)).astype(np.uint8).reshape(-1).view(np.uint64)
-
-
 def _linked(mask: np.ndarray, starts: np.ndarray, sizes: np.ndarray, prints: np.ndarray):
     """Edges of complete posting lists that lie one after another in `prints`."""
     for n in (2, 3, 4):
@@ -114,9 +134,10 @@ def _linked(mask: np.ndarray, starts: np.ndarray, sizes: np.ndarray, prints: np.
         for i in range(n):
             for j in range(i + 1, n):
                 x, y = prints[at + i], prints[at + j]
-                ok = popcount(x ^ y) <= MAX_BITS
+                ok = _links(x ^ y)
                 x, y, m = x[ok], y[ok], mask[at[ok]]
-                once = _first_set(x, y) == m
+                # In the lists of three positions a pair counts in the first that holds it.
+                once = (FIRST[_tally(x ^ y)] == m) | (popcount(m) > 8 * (MIN_SHARED - 1))
                 if once.any():
                     yield x[once].tolist(), y[once].tolist()
     for at, n in zip(starts[sizes > 4].tolist(), sizes[sizes > 4].tolist(), strict=True):
@@ -208,11 +229,20 @@ def _link_blocks(batches):
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links between the distinct fingerprints `fp` that connect whatever links connect."""
     entry = F.col("fp").bitwiseAND(F.col("mask"))
-    index = prints.select(F.explode(F.array(*[F.lit(m).cast("long") for m in MASKS])).alias("mask"), "fp")
-    lists = index.repartition(entry, F.col("mask")).sortWithinPartitions(entry, "mask")
-    found = materialise(lists.mapInArrow(_link_lists, "a long, b long, chunk int"))
-    # Of an oversized list, a is the fingerprint and b the mask.
-    rest = found.filter("chunk is not null").select(F.col("a").alias("fp"), F.col("b").alias("mask"), "chunk")
+    schema = "a long, b long, chunk int"
+
+    def listed(index: DataFrame) -> DataFrame:
+        return materialise(index.repartition(entry, F.col("mask")).sortWithinPartitions(entry, "mask").mapInArrow(_link_lists, schema))
+
+    def oversized(found: DataFrame) -> DataFrame:
+        """Of an oversized list's entries, a is the fingerprint and b the mask."""
+        return found.filter("chunk is not null").select(F.col("a").alias("fp"), F.col("b").alias("mask"), "chunk")
+
+    found = listed(prints.select(F.explode(F.array(*[F.lit(m).cast("long") for m in MASKS])).alias("mask"), "fp"))
+    # A pair that reaches the minimum shares a further position beside those of a list of three.
+    more = F.filter(F.transform(F.array(*[F.lit(_mask([p])).cast("long") for p in range(BYTES)]), lambda p: F.col("mask").bitwiseOR(p)), lambda m: m != F.col("mask"))
+    split = listed(oversized(found).select(F.explode(more).alias("mask"), "fp"))
+    rest = oversized(split)
     chunks = rest.groupBy("mask", entry.alias("entry")).agg(F.max("chunk").alias("last"))
     pairs = (
         rest.withColumn("entry", entry)
@@ -220,22 +250,21 @@ def links(prints: DataFrame) -> DataFrame:
         .select("mask", "fp", "chunk", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
         .select("mask", "fp", F.least("chunk", "other").cast("long").alias("i"), F.greatest("chunk", "other").cast("long").alias("j"))
     )
-    blocks = pairs.repartition("mask", entry, "i", "j").sortWithinPartitions("mask", entry, "i", "j")
-    more = blocks.mapInArrow(_link_blocks, "a long, b long, chunk int")
-    return found.filter("chunk is null").select("a", "b").unionByName(more.select("a", "b"))
+    blocks = pairs.repartition("mask", entry, "i", "j").sortWithinPartitions("mask", entry, "i", "j").mapInArrow(_link_blocks, schema)
+    return found.unionByName(split).filter("chunk is null").unionByName(blocks).select("a", "b")
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(fp, component, component_id) for every distinct fp of `rows` (doc_id, fp). component is the smallest of the
-    fingerprints reachable by links, component_id the smallest doc_id of their rows, null if none has an id."""
-    heads = rows.groupBy("fp").agg(F.min("doc_id").alias("head"))
+    """(fp, n, component, component_id) for every distinct fp of `rows` (doc_id, fp): how many rows have it; the smallest
+    of the fingerprints reachable by links; and the smallest doc_id of their rows, null if none has an id."""
+    heads = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")))
     part = connected_components(links(heads.select("fp")))
     part = part.unionByName(part.select(F.col("component").alias("node"), "component").distinct())
-    inside = heads.join(part.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "head")
-    least = inside.groupBy("component").agg(F.min("head").alias("least"))
-    linked = inside.join(least, "component").select("fp", "component", "least")
+    inside = materialise(heads.join(part.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "head"))
+    least = inside.groupBy("component").agg(F.min("head").alias("least"), F.count("*").alias("n"))
+    linked = join_counted(inside, least, "component", "n", inside.count()).select("fp", "component", "least")
     alone = F.col("component").isNull()
-    return heads.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(alone, F.col("head")).otherwise(F.col("least")).alias("component_id"))
+    return heads.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"), F.when(alone, F.col("head")).otherwise(F.col("least")).alias("component_id"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,20 +275,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     none. Further columns are ignored.
     """
     rows = materialise(fingerprints(docs, id_col, text_col))
-    # Exact copies share a fingerprint. With both sides read from storage nothing stands between the exchanges and the
-    # join, so adaptive execution splits a hot one.
     of = materialise(classes(rows))
-    return rows.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Exact copies share a fingerprint, so one may have a large part of all rows.
+    return join_counted(rows, of, "fp", "n", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, less all but one row of each component: the one of the smallest id stays, a
-    null id last; of rows with that id, the one of the smallest hash of the text; of repeated rows, one."""
+    null id last; of rows with that id, the one of the smallest 64-bit hash of the text; of repeated rows, one."""
     names = [fresh(docs, x) for x in ("kept_id", "kept_mark")]
     rows = materialise(fingerprints(docs, id_col, text_col))
-    of = materialise(classes(rows))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
-    kept = rows.join(of, "fp").groupBy("component").agg(F.min(order).alias("best"))
+    # First of each fingerprint, then of each component; both are combined before their shuffle.
+    first = rows.groupBy("fp").agg(F.min(order).alias("best"))
+    kept = first.join(classes(rows), "fp").groupBy("component").agg(F.min("best").alias("best"))
     kept = kept.select(F.col("best.id").alias(names[0]), F.col("best.mark").alias(names[1]))
     joined = docs.join(kept, F.col(id_col).eqNullSafe(F.col(names[0])) & (F.xxhash64(text_col) == F.col(names[1])))
     return joined.dropDuplicates(names).select(*docs.columns)
