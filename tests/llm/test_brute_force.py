@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations, product
 
@@ -329,27 +330,76 @@ def test_mix(spark, sf, docs):
 # Language
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def segmentations(word, place):
+    """The pieces of each segmentation of a word."""
+    for cuts in range(1 << len(word) - 1):
+        ends = [i + 1 for i in range(len(word) - 1) if cuts >> i & 1] + [len(word)]
+        parts = [word[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        if all(x in place for x in parts):
+            yield [place[x] for x in parts]
+
+
 def test_forward_sums_all_segmentations():
-    codes = language.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    pieces = language.vocabulary(VOCABULARY)
     rng = np.random.default_rng(1)
-    p = rng.random((len(codes) + 1, 2)) / len(codes)
-    p[-1] = 0
-    model = language.Model(["a", "b"], codes, p)
-    place = {int(c): k for k, c in enumerate(codes)}
-
-    def total(word):
-        out = np.zeros(2)
-        for cuts in range(1 << len(word) - 1):
-            ends = [i + 1 for i in range(len(word) - 1) if cuts >> i & 1] + [len(word)]
-            product = np.ones(2)
-            for a, b in zip([0, *ends], ends, strict=False):
-                k = place.get(int.from_bytes(word[a:b], "big")) if b - a <= language.MAX_PIECE else None
-                product = product * (p[k] if k is not None else 0)
-            out += product
-        return out
-
-    words = [b" the", b" a", " über".encode(), b" zzqx", b" tion"]
-    assert np.allclose(np.exp(language.log_likelihoods(model, words)), [total(w) for w in words])
+    p = rng.random((len(pieces), 2)) / len(pieces)
+    place = {x: k for k, x in enumerate(pieces)}
+    words = [b"the", b"a", "über".encode(), b"zzqx", b"tion", b"international", b"responsibility"]
+    assert any(len(x) > 8 and (x[1:] if x[:1] == b" " else x) in words for x in pieces)
+    found = language.log_likelihoods(language.Model(["a", "b"], pieces, p), language.Trie(pieces), [*words, language.CONTINUED + b"tion"])
+    want = [sum(np.prod(p[s], axis=0) for s in segmentations(w, place)) for w in [*(b" " + w for w in words), b"tion"]]
+    assert np.allclose(np.exp(found), want)
+
+
+def test_expectation_maximisation():
+    """A round's probabilities are the expected counts over all segmentations, listed."""
+    counts = {"a": Counter({b"the": 3, b"then": 1, b"over": 2}), "b": Counter({b"the": 1, "für".encode(): 4})}
+    pieces = language.vocabulary(VOCABULARY)
+    place = {x: k for k, x in enumerate(pieces)}
+    p = np.full((len(pieces), 2), 1 / len(pieces))
+    for _ in range(2):
+        expected = np.zeros_like(p)
+        for k, lang in enumerate("ab"):
+            for word, n in counts[lang].items():
+                ways = list(segmentations(b" " + word, place))
+                weights = [np.prod(p[s, k]) for s in ways]
+                for s, x in zip(ways, weights, strict=True):
+                    for piece in s:
+                        expected[piece, k] += n * x / sum(weights)
+        p = np.maximum(expected / expected.sum(axis=0), language.FLOOR)
+    assert np.allclose(language.train(counts, VOCABULARY, rounds=2).probabilities, p)
+
+
+def test_long_words_are_cut_between_letters():
+    word = ("ü" * 5 + "日" * 25 + "a" * 40).encode()
+    parts = language.pre_tokens(b"x " + word + b" y")
+    assert parts[0] == b"x" and parts[-1] == b"y" and all(x.startswith(language.CONTINUED) for x in parts[2:-1])
+    assert b"".join(x.removeprefix(language.CONTINUED) for x in parts[1:-1]) == word
+    assert all(len(x.removeprefix(language.CONTINUED)) <= language.MAX_WORD and x.decode() for x in parts)
+
+
+def test_predictions_against_enumeration(spark):
+    """Whole texts: each word's probability as the listed sum."""
+    counts = {"de": Counter(b"der die und ist ein".split()), "en": Counter(b"the and is of one".split())}
+    model = language.train(counts, VOCABULARY)
+    place = {x: k for k, x in enumerate(model.pieces)}
+    for text in ("the one", "und ein", "is ist", "ab cd ef", "die and"):
+        logs = sum(np.log(sum(np.prod(model.probabilities[s], axis=0) for s in segmentations(b" " + w, place))) for w in text.encode().split())
+        share = np.exp(logs - logs.max())
+        lang, score = language.Scorer(model).predict(text.encode())
+        assert lang == model.languages[int(np.argmax(share))] and score == pytest.approx(share.max() / share.sum())
+    # Equal scores: the first name.
+    assert language.Scorer(language.train({"b": counts["en"], "a": counts["en"]}, VOCABULARY)).predict(b"the one") == ("a", 0.5)
+
+
+def test_more_languages_than_documents_to_learn_from(spark):
+    rows = [(i, f"word{'abcdefghij'[i % 10]} number", f"lang{i}") for i in range(30)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCABULARY, max_docs=5)
+    assert model.languages == sorted(lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5)
+    assert (model.probabilities.max(axis=0) > 0.01).all()
 
 
 def test_language_held_out(spark):

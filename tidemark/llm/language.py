@@ -1,14 +1,15 @@
 """Language identification by segmentation-marginalised unigrams.
 
-The pieces are those of a fixed public vocabulary that have at most MAX_PIECE bytes, lower-cased, and every single
-byte, so that each text has a segmentation. Each language has a probability for each piece. A pre-token is a space
-and a run of letters (a word, cut after MAX_WORD bytes); its probability in a language is the sum, over all its
-segmentations into pieces, of the product of their probabilities, which a forward recursion gives without listing
-them. A text's log-likelihood is the sum over its pre-tokens, each scored once per worker process and kept in a
-bounded table.
+The pieces are the letter pieces of a fixed public vocabulary, lower-cased, and every single byte, so that each text
+has a segmentation. Each language has a probability for each piece. A pre-token is a space and a run of letters; its
+probability in a language is the sum, over all its segmentations into pieces, of the product of their probabilities,
+which a forward recursion over a trie of the pieces gives without listing them. A run of more than MAX_WORD bytes is cut
+between letters, so only its segmentations with these cuts are summed; the parts but the first have no space. A
+text's log-likelihood is the sum over its pre-tokens, each scored once per worker process and kept in a bounded table.
 
 Training is expectation maximisation with the same recursion, forward and backward, over the word counts of a
-sample of `max_docs` labelled documents, shared evenly among the languages and taken by seeded hash.
+sample of `max_docs` labelled documents, shared evenly among the languages and taken by seeded hash, but at least one of
+each language.
 """
 
 from __future__ import annotations
@@ -25,12 +26,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh, id_remainder, table
 
-MAX_PIECE = 8
 MAX_WORD = 32
-MAX_DOCS = 1600
+MAX_DOCS = 2400
 SEED = 7
-ROUNDS = 3
-#: Least probability of a piece: the product over a whole pre-token stays within a double.
+ROUNDS = 4
+#: Least probability of a piece: the product over MAX_WORD bytes and a space stays within a double.
 FLOOR = 1e-8
 #: Pre-tokens that a worker keeps the scores of.
 MAX_TABLE = 300_000
@@ -44,24 +44,52 @@ UNKNOWN = "und"
 LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def vocabulary(path: str) -> np.ndarray:
-    """Sorted codes of the pieces in a file of base64 pieces and ranks. A code holds a piece's bytes, first byte
-    highest; no piece has a zero byte, so codes of different lengths differ."""
+#: Before a part of a word that isn't its first; no letter.
+CONTINUED = b"\0"
+
+
+def vocabulary(path: str) -> list[bytes]:
+    """The pieces, sorted, of a file of base64 pieces and ranks."""
     pieces = {bytes([b]) for b in range(1, 256)}
     with open(path, "rb") as lines:
         for line in lines:
             piece = base64.b64decode(line.split()[0]).lower()
             body = piece[1:] if piece[:1] == b" " else piece
-            if 0 < len(body) and len(piece) <= MAX_PIECE and body.translate(LETTERS) == body and b" " not in body:
+            if body and body.translate(LETTERS) == body and b" " not in body:
                 pieces.add(piece)
-    return np.array(sorted(int.from_bytes(p, "big") for p in pieces), np.uint64)
+    return sorted(pieces)
+
+
+class Trie:
+    """keys: state << 8 | byte of every step, sorted; the step at place k leads to state k + 1. piece: of each state, the
+    number of the piece that ends there, or -1."""
+
+    def __init__(self, pieces: list[bytes]):
+        keys, piece, level = [], [-1], [(0, len(pieces), 0, 0)]
+        while level:
+            deeper = []
+            for first, last, depth, state in level:
+                k = first
+                while k < last:
+                    if len(pieces[k]) == depth:
+                        piece[state], k = k, k + 1
+                        continue
+                    byte, stop = pieces[k][depth], k
+                    while stop < last and pieces[stop][depth] == byte:
+                        stop += 1
+                    keys.append(state << 8 | byte)
+                    piece.append(-1)
+                    deeper.append((k, stop, depth + 1, len(keys)))
+                    k = stop
+            level = deeper
+        self.keys, self.piece = np.array(keys, np.int64), np.array(piece, np.int32)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    codes: np.ndarray
-    #: probability of each piece in each language, and a last row of zeros for what is no piece.
+    pieces: list[bytes]
+    #: probability of each piece in each language.
     probabilities: np.ndarray
 
 
@@ -77,105 +105,115 @@ def _bytes_by_length(words: list[bytes]):
             yield part, np.frombuffer(b"".join([words[k] for k in part]), np.uint8).reshape(len(part), n)
 
 
-def _ids(codes: np.ndarray, chars: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-    """Piece ids of every substring [start, stop) of at most MAX_PIECE bytes; len(codes) where it is no piece."""
-    out, n = {}, chars.shape[1]
-    for stop in range(1, n + 1):
-        code = np.zeros(len(chars), np.uint64)
-        for start in range(stop - 1, max(-1, stop - 1 - MAX_PIECE), -1):
-            code = code | chars[:, start].astype(np.uint64) << np.uint64(8 * (stop - 1 - start))
-            found = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            out[start, stop] = np.where(codes[found] == code, found, len(codes))
-    return out
-
-
-def _forward(ids, p: np.ndarray, rows: int, n: int) -> list[np.ndarray]:
-    alpha = [np.ones((rows, p.shape[1]))]
-    for stop in range(1, n + 1):
-        total = np.zeros((rows, p.shape[1]))
-        for start in range(max(0, stop - MAX_PIECE), stop):
-            total += alpha[start] * p[ids[start, stop]]
-        alpha.append(total)
+def _arcs(trie: Trie, chars: np.ndarray):
+    """(start, stop, rows, pieces) for every stretch, by start: the rows in which [start, stop) is a piece, and which."""
+    n, last = chars.shape[1], len(trie.keys) - 1
+    columns = chars.T.astype(np.int64)
+    for start in range(n):
+        rows, state = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        for stop in range(start + 1, n + 1):
+            key = state << 8 | columns[stop - 1][rows]
+            at = np.minimum(np.searchsorted(trie.keys, key), last)
+            alive = trie.keys[at] == key
+            rows, state = rows[alive], at[alive] + 1
+            if not len(rows):
+                break
+            piece = trie.piece[state]
+            ends = piece >= 0
+            if ends.any():
+                yield start, stop, rows[ends], piece[ends]
+
+
+def _forward(arcs, p: np.ndarray, rows: int, n: int) -> np.ndarray:
+    """By place and row, in each language: the sum over the segmentations of what is before the place."""
+    alpha = np.zeros((n + 1, rows, p.shape[1]))
+    alpha[0] = 1
+    for start, stop, at, piece in arcs:
+        alpha[stop, at] += alpha[start, at] * p[piece]
     return alpha
 
 
-def log_likelihoods(model: Model, words: list[bytes]) -> np.ndarray:
-    """Of each pre-token (with its leading space) in each language."""
+def log_likelihoods(model: Model, trie: Trie, words: list[bytes]) -> np.ndarray:
+    """Of each pre-token in each language."""
     out = np.zeros((len(words), len(model.languages)))
-    for at, chars in _bytes_by_length(words):
-        out[at] = np.log(_forward(_ids(model.codes, chars), model.probabilities, len(at), chars.shape[1])[-1])
+    for at, chars in _bytes_by_length([w[1:] if w[:1] == CONTINUED else b" " + w for w in words]):
+        out[at] = np.log(_forward(_arcs(trie, chars), model.probabilities, len(at), chars.shape[1])[-1])
     return out
 
 
+def _parts(word: bytes):
+    """A long word cut between letters."""
+    start = 0
+    while start < len(word):
+        stop = min(len(word), start + MAX_WORD)
+        while stop < len(word) and word[stop] & 0xC0 == 0x80:
+            stop -= 1
+        yield word[start:stop] if not start else CONTINUED + word[start:stop]
+        start = stop
+
+
 def pre_tokens(text: bytes) -> list[bytes]:
+    """The words of a text, without their space; what a long one goes on with begins with CONTINUED."""
     words = text.decode("utf-8", "replace").lower().encode().translate(LETTERS).split()
     if words and max(map(len, words)) > MAX_WORD:
-        words = [w[i : i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)]
+        words = [x for w in words for x in (_parts(w) if len(w) > MAX_WORD else (w,))]
     return words
 
 
-def train(counts: dict[str, Counter], path: str) -> Model:
+def train(counts: dict[str, Counter], path: str, rounds: int = ROUNDS) -> Model:
     """counts: of each language, how often each pre-token occurs."""
-    codes = vocabulary(path)
-    languages = sorted(counts)
+    pieces = vocabulary(path)
+    trie, languages = Trie(pieces), sorted(counts)
     words = sorted({w for c in counts.values() for w in c})
     weights = np.array([[counts[lang][w] for lang in languages] for w in words], float).reshape(len(words), len(languages))
-    p = np.full((len(codes) + 1, len(languages)), 1 / len(codes))
-    p[-1] = 0
-    for _ in range(ROUNDS if words else 0):
+    p = np.full((len(pieces), len(languages)), 1 / len(pieces))
+    for _ in range(rounds if words else 0):
         expected = np.zeros_like(p)
-        for at, chars in _bytes_by_length([b" " + w for w in words]):
-            n, ids = chars.shape[1], _ids(codes, chars)
-            alpha = _forward(ids, p, len(at), n)
-            beta: list = [None] * n + [np.ones((len(at), len(languages)))]
-            for start in range(n - 1, -1, -1):
-                beta[start] = sum(p[ids[start, stop]] * beta[stop] for stop in range(start + 1, min(n, start + MAX_PIECE) + 1))
+        for at, chars in _bytes_by_length([w[1:] if w[:1] == CONTINUED else b" " + w for w in words]):
+            n, arcs = chars.shape[1], list(_arcs(trie, chars))
+            alpha = _forward(arcs, p, len(at), n)
+            beta = np.zeros_like(alpha)
+            beta[n] = 1
             share = weights[at] / alpha[n]
-            for (start, stop), piece in ids.items():
-                use = alpha[start] * p[piece] * beta[stop] * share
+            for start, stop, rows, piece in reversed(arcs):
+                onward = p[piece] * beta[stop, rows]
+                beta[start, rows] += onward
+                use = alpha[start, rows] * onward * share[rows]
                 for k in range(len(languages)):
                     expected[:, k] += np.bincount(piece, use[:, k], len(expected))
-        expected[-1] = 0
         p = np.maximum(expected / np.maximum(expected.sum(axis=0), 1), FLOOR)
-        p[-1] = 0
-    return Model(languages, codes, p)
+    return Model(languages, pieces, p)
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.trie = model, Trie(model.pieces)
         self.place: dict[bytes, int] = {}
         self.scores = np.zeros((0, len(model.languages)))
 
-    def total(self, text: bytes) -> np.ndarray:
-        """Log-likelihood of the text in each language, and its number of pre-tokens last."""
-        words = pre_tokens(text)
-        places = list(map(self.place.get, words))
-        if None in places:
-            new = list({w for w, i in zip(words, places, strict=True) if i is None})
-            if len(self.place) + len(new) > MAX_TABLE:
-                self.place, self.scores = {}, self.scores[:0]
-                new = list(set(words))
+    def learn(self, words: set[bytes]) -> None:
+        """Scores the new ones of the pre-tokens of a few texts together; if the table gets too long, it begins again with them."""
+        new = words - self.place.keys()
+        if len(self.place) + len(new) > MAX_TABLE:
+            self.place, self.scores, new = {}, self.scores[:0], words
+        if new:
+            new = list(new)
             self.place.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
-            self.scores = np.concatenate((self.scores, log_likelihoods(self.model, [b" " + w for w in new])))
-            places = list(map(self.place.__getitem__, words))
-        return np.append(self.scores[places].sum(axis=0), len(words))
+            self.scores = np.concatenate((self.scores, log_likelihoods(self.model, self.trie, new)))
 
-    def learn(self, texts) -> None:
-        """Scores the new pre-tokens of many texts together."""
-        new = {w for t in texts if t for w in pre_tokens(t)} - self.place.keys()
-        if len(self.place) + len(new) > MAX_TABLE:
-            self.place, self.scores = {}, self.scores[:0]
-        new = list(new)
-        self.place.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
-        self.scores = np.concatenate((self.scores, log_likelihoods(self.model, [b" " + w for w in new])))
+    def predict_all(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
+        words = [pre_tokens(t) if t else [] for t in texts]
+        self.learn(set().union(*words))
+        return [self._judged(t, w) for t, w in zip(texts, words, strict=True)]
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
+        return self.predict_all([text])[0]
+
+    def _judged(self, text: bytes | None, words: list[bytes]) -> tuple[str, float]:
         if not text or not self.model.languages or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
             return UNKNOWN, 0.0
-        total = self.total(text)
-        n = total[-1]
-        weighed = total[:-1] * min(1.0, EVIDENCE / max(n, 1))
+        total = self.scores[list(map(self.place.__getitem__, words))].sum(axis=0)
+        weighed = total * min(1.0, EVIDENCE / max(len(words), 1))
         share = np.exp(weighed - weighed.max())
         best = int(np.argmax(share))
         return self.model.languages[best], float(share[best] / share.sum())
@@ -195,9 +233,8 @@ def _predicting(key: str, model):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for i in range(0, len(texts), 256):
-                scorer.learn(x.as_py() for x in texts[i : i + 256])
                 part = batch.slice(i, 256)
-                found = [scorer.predict(x.as_py()) for x in texts[i : i + 256]]
+                found = scorer.predict_all([x.as_py() for x in texts[i : i + 256]])
                 lang, score = pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lang, score], names=[*batch.schema.names[:-1], batch.schema.names[-1] + "_lang", batch.schema.names[-1] + "_score"])
 
@@ -220,14 +257,15 @@ def _counting(batches):
 def learn(docs: DataFrame, path: str, max_docs: int = MAX_DOCS) -> Model:
     """A model from the rows of `docs` (doc_id, text, lang) that have a text and a lang and aren't held out."""
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder("doc_id", 5) != 0))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
-    each = max_docs // max(1, len(sizes))
-    # A share of each language's documents, by a hash that is even over [0, 1).
+    # A share of each language's documents, by a hash that is even over [0, 1), and the first by that hash in any case.
     place = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id")), 11) / F.lit(float(1 << 53))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
-    sample = usable.filter(place < share).select("lang", F.col("text").cast("binary").alias("text"))
+    # A row for each language; the model, too, has a column for each.
+    sizes = {r["lang"]: (r["n"], r["first"]) for r in usable.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first")).toLocalIterator()}
+    if not sizes:
+        return train({}, path)
+    each = max_docs / len(sizes)
+    share = F.map_from_arrays(F.array(*map(F.lit, sizes)), F.array(*[F.lit(max(first, min(1.0, each / n))) for n, first in sizes.values()]))
+    sample = usable.filter(place <= F.element_at(share, F.col("lang"))).select("lang", F.col("text").cast("binary").alias("text"))
     totals = sample.mapInArrow(_counting, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = {lang: Counter() for lang in sizes}
     for row in totals.toLocalIterator():
@@ -251,7 +289,7 @@ def language_id(docs: DataFrame, path: str, max_docs: int = MAX_DOCS) -> DataFra
 
     Learns from rows whose crc32(doc_id) mod 5 isn't 0; a null id is neither learned from nor held out. Predictions
     see the text alone. A null text, or one without a letter, is `und` with score 0; so is everything if there is
-    nothing to learn from. The score is the posterior, with equal priors, of the text's mean pre-token taken
+    nothing to learn from. Of languages that are equally likely the first by name is taken. The score is the posterior, with equal priors, of the text's mean pre-token taken
     EVIDENCE times (as often as there are, if fewer). Repeated rows each give a row; an empty table gives none; other
     columns are ignored.
     """
