@@ -458,41 +458,100 @@ def test_obfuscated_words_count():
 
 
 def plain_dedup(texts):
-    """texts: {id: text}, ids distinct."""
-    chunks = {}
-    for i, t in texts.items():
-        lines = t.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % line_dedup.PRIME for x in lines]
-        w = [len(WORD.findall(x)) for x in lines]
-        chunks[i], start = [], 0
-        for k in range(len(lines)):
-            rolled = ((h[k - 1] if k else 0) * line_dedup.FACTOR + h[k]) % line_dedup.PRIME
-            if rolled % line_dedup.SPREAD == 0 or w[k] >= 50 or k + 1 == len(lines) or w[k + 1] >= 50:
-                part = slice(start, k + 1)
-                filled = sum(x > 0 for x in w[part])
-                chunks[i].append(("\n".join(lines[part]), filled > 1 or (filled == 1 and sum(w[part]) >= 50)))
-                start = k + 1
+    """texts: {id: text}, ids distinct. {id: (text that is left, lines taken out)}."""
     seen, out = set(), {}
-    for i in sorted(chunks):
-        kept = []
-        for text, counts in chunks[i]:
-            if not counts or text not in seen:
-                kept.append(text)
-            if counts:
-                seen.add(text)
-        out[i] = ("\n".join(kept), len(chunks[i]) - len(kept))
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        filled = [(k, x, len(WORD.findall(x))) for k, x in enumerate(lines) if WORD.search(x)]
+        gone, run = set(), []
+
+        def finished():
+            if len(run) > 1 and sum(w for _, _, w in run) >= line_dedup.MIN_WORDS:
+                gone.update(range(run[0][0], run[-1][0] + 1))  # noqa: B023
+
+        for n, line in enumerate(filled):
+            if line[2] >= line_dedup.MIN_WORDS:
+                gone.update([line[0]] if line[1] in seen else [])
+                seen.add(line[1])
+            if n and (filled[n - 1][1], line[1]) in seen:
+                run.append(line)
+            else:
+                finished()
+                run = [line]
+            if n:
+                seen.add((filled[n - 1][1], line[1]))
+        finished()
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
     return out
 
 
-def test_line_dedup(spark, sf, docs):
+def shared_passages(texts):
+    """[(id, first line, last line)] of the longest runs of lines with 50 words or more that an earlier text has as such a
+    run, lines without a word left out; all lines compared."""
+    filled = {i: [(x, len(WORD.findall(x))) for x in t.split("\n") if WORD.search(x)] for i, t in texts.items()}
+    where, out = defaultdict(list), []
+    for i in sorted(filled):
+        own, n = filled[i], 0
+        while n < len(own):
+            longest = 0
+            for j, k in where[own[n][0]]:
+                size = 0
+                while n + size < len(own) and k + size < len(filled[j]) and own[n + size][0] == filled[j][k + size][0]:
+                    size += 1
+                longest = max(longest, size)
+            if sum(w for _, w in own[n : n + longest]) >= 50:
+                out.append((i, [x for x, _ in own[n : n + longest]]))
+            n += max(1, longest)
+        for k, (x, _) in enumerate(own):
+            where[x].append((i, k))
+    return out
+
+
+def passages(rng, n):
+    """Texts of invented lines, with passages of one to eight lines and some 60 words in several of them, and frequent short lines."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    line = lambda k: " ".join(word() for _ in range(k))
+    shared = [[line(60 // size + 1) for _ in range(size)] for size in (1, 2, 2, 3, 4, 5, 6, 8)]
+    often = [line(3) for _ in range(3)]
+    texts = {}
+    for i in range(n):
+        parts = [line(rng.randint(1, 12)) for _ in range(rng.randint(1, 6))]
+        for _ in range(rng.randint(0, 2)):
+            parts[(at := rng.randint(0, len(parts))) : at] = rng.choice(shared)
+        parts[(at := rng.randint(0, len(parts))) : at] = rng.choices([*often, "", " "], k=2)
+        texts[i] = "\n".join(parts)
+    return texts
+
+
+@pytest.mark.parametrize("bound", [line_dedup.MAX_BROADCAST, 0])
+def test_line_dedup(spark, sf, docs, bound):
     texts = {i: d["text"] for i, d in docs.items()}
     passage = "\n".join(f"shared line number {k} of a passage" for k in range(12))
     texts |= {10**6 + k: f"own start {k}\n{passage}\nown end {k}" for k in range(4)}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    rows = line_dedup.dedup_lines(df, removed_col="n_removed").collect()
+    texts |= {10**7 + k: t for k, t in passages(random.Random(3), 60).items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    rows = line_dedup.dedup_lines(df, removed_col="n_removed", max_broadcast=bound).collect()
     want = plain_dedup(texts)
     assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in rows} == want
-    assert all(want[10**6 + k][1] > 0 for k in (1, 2, 3)) and want[10**6][1] == 0
+    assert all(want[10**6 + k] == (f"own start {k}\nown end {k}", 12) for k in (1, 2, 3)) and want[10**6][1] == 0
+
+
+def test_shared_passages_go(spark):
+    """Of the words of passages of 50 words or more that an earlier text has; and what no other text has stays."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r["text"]}
+    texts |= {10**7 + k: t for k, t in passages(random.Random(4), 300).items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = {r["doc_id"]: Counter(r["text"].split("\n")) for r in line_dedup.dedup_lines(df).collect()}
+    words, stayed = 0, 0
+    for i, run in shared_passages(texts):
+        for x in run:
+            words += len(WORD.findall(x))
+            stayed += len(WORD.findall(x)) * (left[i][x] > 0)
+    assert words > 10_000 and stayed / words < 0.1
+    often = Counter(x for t in texts.values() for x in set(t.split("\n")))
+    for i, t in texts.items():
+        alone = Counter(x for x in t.split("\n") if often[x] == 1)
+        assert all(left[i][x] == min(1, n) or n > 1 for x, n in alone.items())
 
 
 def test_line_dedup_is_native(spark, sf):
