@@ -412,21 +412,35 @@ def test_language_held_out(spark):
 
 
 @pytest.fixture(scope="module")
-def counter():
-    return token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+def splitter():
+    return token_counts.Splitter(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60) | st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "a", "'s", "'LL", "é", " ", "\x1c", " ", "ſ", "1", "!", "日", "\U0001f600"]), max_size=25).map("".join))
-def test_tokens_as_the_library(counter, text):
-    assert counter.count(text) == len(counter.library.encode(text, add_special_tokens=False).ids)
-
-
-def test_tokens_of_documents(spark, sf, docs, counter):
-    for r in token_counts.op5_token_counts(spark, sf).collect():
-        text = docs[r["doc_id"]]["text"]
+@given(st.text(max_size=60) | st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "a", "'s", "'LL", "é", " ", "\x1c", " ", "ſ", "1", "!", "日", "\U0001f600", "ª²", "×÷¼"]), max_size=25).map("".join))
+def test_tokens_as_the_library(splitter, text):
+    special, pre_tokens = splitter.split(text)
+    assert special + sum(splitter.pieces(pre_tokens)) == len(splitter.library.encode(text, add_special_tokens=False).ids)
+
+
+def test_pre_tokens_of_common_characters(splitter):
+    """The pattern's letters and numbers are the library's, by every character that it is used for."""
+    for c in filter(token_counts.COMMON.fullmatch, map(chr, range(0x2100))):
+        text = f"a{c}1{c}.{c} {c}"
+        assert token_counts.PATTERN.findall(text) == [text[a:b] for _, (a, b) in splitter.library.pre_tokenizer.pre_tokenize_str(text)], hex(ord(c))
+
+
+@pytest.mark.parametrize("frequent", [token_counts.FREQUENT, 100, 0])
+def test_tokens_of_documents(spark, docs, splitter, frequent):
+    """Whatever part of the pre-tokens is joined by shuffle."""
+    texts = {**{i: d["text"] for i, d in docs.items()}, 10**6: "日本語のテキスト" * 30 + " <|endoftext|>x", 10**6 + 1: "y" * 5000 + " z"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    rows = token_counts.count_tokens(df, public_tokenizers.path("byte_bpe_50k.json"), frequent=frequent).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
         assert r["n_bytes"] == len(text.encode())
-        assert r["n_tokens"] == len(counter.library.encode(text, add_special_tokens=False).ids) and r["over_limit"] == (r["n_tokens"] > 512)
+        assert r["n_tokens"] == len(splitter.library.encode(text, add_special_tokens=False).ids) and r["over_limit"] == (r["n_tokens"] > 512)
 
 
 # Toxicity
