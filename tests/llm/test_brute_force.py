@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import random
 import re
 import zlib
@@ -584,11 +583,7 @@ def article(n):
 
 
 def wrapper_of(pages):
-    """By way of partial wrappers, as text, in two parts."""
-    parts = [html.joined(html.Wrapper.of(html.Page(p)) for p in pages[k::2]) for k in (0, 1)]
-    whole = html.joined(html.Wrapper.read(w.written()) for w in parts)
-    assert whole.pages == len(pages)
-    return html._nodes(json.dumps(whole.finished()))
+    return html.infer(pages, fan_in=2)
 
 
 def test_articles():
@@ -607,9 +602,11 @@ def test_without_an_article_fixed_texts_go():
 
 
 def test_folding_and_alignment():
-    assert [n[0] for n in html.fold(["ul", "li", "#", "li", "#", "li", "#", "/ul"])] == ["ul", ("li", "#"), "/ul"]
-    pairs = html.align(html.fold(["a", "p", "#", "p", "#", "b"]), html.fold(["a", "x", "p", "#", "b"]))
-    assert (None, 1) in pairs and {(0, 0), (1, 2), (1, 3), (2, 4)} <= set(pairs)
+    page = html.Page("<ul><li>1<li>2<li>3</ul><div><section>a</section><p>b</p><section>c</section><p>d</p></div>")
+    assert [n[0] for n in page.parts] == ["ul", "div"] and [n[:2] for n in page.parts[0][3]] == [["li", True]]
+    assert [n[:2] for n in page.parts[1][3]] == [["(section,p)", True]] and page.slots == [[0, 1, 2], [3, 5], [4, 6]]
+    one, group = ([[x, False, False, []] for x in ("a", "section", "p", "b")], [["a", False, False, []], page.parts[1][3][0], ["b", False, False, []]])
+    assert html.align(group, one) == [(0, 1, 0, 1), (1, 1, 1, 2), (2, 1, 3, 1)]
 
 
 def test_malformed_pages():
@@ -621,12 +618,16 @@ def test_malformed_pages():
     assert html.extract("<main>1 &lt; 2 &#233; <i>in</i>line<br>next<section class='user-comments'>no</section></main>", None) == "1 < 2 é inline\nnext"
 
 
+def article_of(source):
+    body = re.search(r"<article>(.*)</article>", source, re.S)[1]
+    parts = (" ".join(__import__("html").unescape(re.sub("<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)[^>]*>", body))
+    return "\n".join(x for x in parts if x)
+
+
 def test_pages_of_the_table(spark, sf):
     rows = html.op8_html_extraction(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
     for r in rows:
-        body = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
-        parts = (" ".join(__import__("html").unescape(re.sub("<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)[^>]*>", body))
-        assert r["text"] == "\n".join(x for x in parts if x) and r["n_chars"] == len(r["text"])
+        assert r["text"] == article_of(r["html"]) and r["n_chars"] == len(r["text"])
 
 
 # Licenses
