@@ -6,8 +6,10 @@ and each gap between them is aligned in the same way. The coverage is the share
 aligned. A stretch with a coverage of `least` or more is a finding. Of two that share half of the aligned words
 of the one with fewer, the one with more is kept, so that a license isn't taken for another that it contains.
 
-No stretch is missed for its neighbours: a template of n words may leave (1 - least) n of them unaligned, so a stretch
-that holds fewer telling words than that leaves room for can't reach the coverage, and every other one is aligned.
+A template of n words may leave (1 - least) n of them unaligned, so a stretch that holds fewer telling words than that
+leaves room for can't reach the coverage. A stretch reaches as far as the template's telling words follow each other
+at less than n words; it is aligned at twice the template's length first, and then at twice as much each time until it is found or
+ends, so words may be put in between the template's as long as it goes on.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 LEAST = 0.8
-#: Words of text that may be taken up by an alignment, as a multiple of the template's words.
-SPREAD = 1.5
 
 # Short notices and texts of common licenses.
 TEMPLATES = {
@@ -58,7 +58,8 @@ def words_with_places(text: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
 
 def patience(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     """Pairs of places of equal words, increasing in both: anchors unique to both, the longest increasing subsequence
-    of them, and the same again between each two neighbours. Equal words at either end of a gap are paired first."""
+    of them, and the same again between each two neighbours. Equal words at either end of a gap are paired first; a gap
+    without anchors is aligned by its longest common subsequence."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -74,6 +75,10 @@ def patience(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
         in_a, in_b = Counter(a[i:i_end]), Counter(b[j:j_end])
         place = {w: k for k, w in enumerate(b[j:j_end], j) if in_b[w] == 1}
         pairs = [(k, place[w]) for k, w in enumerate(a[i:i_end], i) if in_a[w] == 1 and w in place]
+        if not (unique := bool(pairs)):
+            # Nothing is unique: all equal words, of each word of a the last of b first, so that the chain has it once.
+            places = {w: [y for y in range(j_end - 1, j - 1, -1) if b[y] == w] for w in in_b.keys() & in_a.keys()}
+            pairs = [(k, y) for k, w in enumerate(a[i:i_end], i) for y in places.get(w, ())]
         if not pairs:
             continue
         # Longest increasing subsequence: piles by their top, and each card's card beneath.
@@ -91,6 +96,8 @@ def patience(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
             k = beneath[k]
         chain.reverse()
         out += chain
+        if not unique:
+            continue
         ends = [(i - 1, j - 1), *chain, (i_end, j_end)]
         todo += [(x + 1, x2, y + 1, y2) for (x, y), (x2, y2) in zip(ends, ends[1:], strict=False)]
     return sorted(out)
@@ -105,7 +112,6 @@ class Template:
         spare = int((1 - least) * len(self.words) + 1e-9)
         #: Distinct telling words that a stretch needs: each that is absent leaves a word of the template unaligned.
         self.needed = max(1, len(self.telling) - spare)
-        self.reach = max(len(self.words) + 1, int(SPREAD * len(self.words)))
 
     def find(self, words: list[bytes], present: set[bytes]):
         """(first word, word after the last, coverage, aligned words) of findings from left to right, apart from each other."""
@@ -113,21 +119,29 @@ class Template:
         if len(telling) < self.needed:
             return
         seeds = [k for k, w in enumerate(words) if w in telling]
+        # Where the text has none of the template's telling words for as long as the template is, it can't go on.
+        ends = [k for k, (x, y) in enumerate(zip(seeds, seeds[1:], strict=False)) if y - x > len(self.words)] + [len(seeds) - 1]
         done = 0
         for s, k in enumerate(seeds):
             if k < done:
                 continue
-            stop = min(len(words), k + self.reach)
-            inside = {words[x] for x in seeds[s : bisect_left(seeds, stop)]}
-            if len(inside) < self.needed:
-                continue
-            # The template may begin before its first telling word.
-            found = self._aligned(words, max(done, k - len(self.words)), stop)
-            if found and found[2] >= self.least:
-                # Counted from where it begins, the stretch may go on further.
-                found = max(found, self._aligned(words, found[0], min(len(words), found[0] + self.reach)), key=lambda x: x[2])
-                yield found
-                done = found[1]
+            last = min(len(words), seeds[ends[bisect_left(ends, s)]] + len(self.words) + 1)
+            # The shortest stretch that has enough, so that of two texts in a row each is found; each is twice the one before.
+            reach = 2 * len(self.words)
+            while True:
+                stop = min(last, k + reach)
+                if len({words[x] for x in seeds[s : bisect_left(seeds, stop)]}) >= self.needed:
+                    # The template may begin before its first telling word.
+                    found = self._aligned(words, max(done, k - len(self.words)), stop)
+                    if found and found[2] >= self.least:
+                        # Counted from where it begins, the stretch may go on further.
+                        found = max(found, self._aligned(words, found[0], min(last, max(stop, found[0] + reach))), key=lambda x: x[2])
+                        yield found
+                        done = found[1]
+                        break
+                if stop == last:
+                    break
+                reach *= 2
 
     def _aligned(self, words: list[bytes], start: int, stop: int):
         pairs = patience(words[start:stop], self.words)
