@@ -48,7 +48,7 @@ def test_coverage_against_the_longest_common_subsequence(name):
     rng = random.Random(name)
     template = licenses.Template(name, licenses.TEMPLATES[name], 0.8)
     for put_in, left_out in ((0, 0), (2, 0), (1, 0.08), (5, 0), (0, 0.15), (3, 0.05)):
-        # A text ends where the template's telling words are further apart than the template is long.
+        # A text ends where the template's telling words are further apart than twice its length.
         put_in = min(put_in, len(template.words) // 4)
         words = [w for w in template.words if rng.random() >= left_out]
         text = [x for w in words for x in (w, *(f"extra{rng.randint(0, 999)}".encode() for _ in range(put_in)))]

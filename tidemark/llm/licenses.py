@@ -8,7 +8,7 @@ of the one with fewer, the one with more is kept, so that a license isn't taken
 
 A template of n words may leave (1 - least) n of them unaligned, so a stretch that holds fewer telling words than that
 leaves room for can't reach the coverage. A stretch reaches as far as the template's telling words follow each other
-at less than n words; it is aligned at twice the template's length first, and then at twice as much each time until it is found or
+at no more than 2 n words; it is aligned at twice the template's length first, and then at twice as much each time until it is found or
 ends, so words may be put in between the template's as long as it goes on.
 """
 
@@ -119,15 +119,16 @@ class Template:
         if len(telling) < self.needed:
             return
         seeds = [k for k, w in enumerate(words) if w in telling]
-        # Where the text has none of the template's telling words for as long as the template is, it can't go on.
-        ends = [k for k, (x, y) in enumerate(zip(seeds, seeds[1:], strict=False)) if y - x > len(self.words)] + [len(seeds) - 1]
+        # Where the text has none of the template's telling words for twice as long as the template is, it can't go on.
+        apart = 2 * len(self.words)
+        ends = [k for k, (x, y) in enumerate(zip(seeds, seeds[1:], strict=False)) if y - x > apart] + [len(seeds) - 1]
         done = 0
         for s, k in enumerate(seeds):
             if k < done:
                 continue
-            last = min(len(words), seeds[ends[bisect_left(ends, s)]] + len(self.words) + 1)
+            last = min(len(words), seeds[ends[bisect_left(ends, s)]] + apart + 1)
             # The shortest stretch that has enough, so that of two texts in a row each is found; each is twice the one before.
-            reach = 2 * len(self.words)
+            reach = apart
             while True:
                 stop = min(last, k + reach)
                 if len({words[x] for x in seeds[s : bisect_left(seeds, stop)]}) >= self.needed:
