@@ -133,20 +133,25 @@ class Template:
                 stop = min(last, k + reach)
                 if len({words[x] for x in seeds[s : bisect_left(seeds, stop)]}) >= self.needed:
                     # The template may begin before its first telling word.
-                    found = self._aligned(words, max(done, k - len(self.words)), stop)
-                    if found and found[2] >= self.least:
-                        # Counted from where it begins, the stretch may go on further.
-                        found = max(found, self._aligned(words, found[0], min(last, max(stop, found[0] + reach))), key=lambda x: x[2])
-                        yield found
-                        done = found[1]
+                    pairs = patience(words[max(done, k - len(self.words)) : stop], self.words)
+                    if len(pairs) >= self.least * len(self.words):
+                        pairs = self._continued(words, [(x + max(done, k - len(self.words)), y) for x, y in pairs], done, last)
+                        done = pairs[-1][0] + 1
+                        yield pairs[0][0], done, len(pairs) / len(self.words), {x for x, _ in pairs}
                         break
                 if stop == last:
                     break
                 reach *= 2
 
-    def _aligned(self, words: list[bytes], start: int, stop: int):
-        pairs = patience(words[start:stop], self.words)
-        return (start + pairs[0][0], start + pairs[-1][0] + 1, len(pairs) / len(self.words), {start + x for x, _ in pairs}) if pairs else None
+    def _continued(self, words: list[bytes], pairs: list[tuple[int, int]], first: int, last: int) -> list[tuple[int, int]]:
+        """The pairs with those of the template's words before and after them, sought as far as these may reach at twice the
+        words of text that the pairs take."""
+        (start, head), (stop, tail) = pairs[0], pairs[-1]
+        each = 2 * -(-(stop + 1 - start) // len(pairs))
+        begin = max(first, start - each * head)
+        before = patience(words[begin:start], self.words[:head])
+        after = patience(words[stop + 1 : min(last, stop + 1 + each * (len(self.words) - tail - 1))], self.words[tail + 1 :])
+        return [(x + begin, y) for x, y in before] + pairs + [(x + stop + 1, y + tail + 1) for x, y in after]
 
 
 def scan(text: bytes | None, templates: list[Template]) -> list[dict]:
