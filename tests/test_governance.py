@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import pii
 from tidemark.functions.scalars import derive_key, hmac_sha256
 from tidemark.governance import audit, quality, registry
+from tidemark.sources import sinks
 
 
 def one(spark, value, column):
@@ -125,3 +126,40 @@ def test_entries_of_an_operation(spark):
     r = rows.first()
     assert (r["account_id"], r["metadata"], r["action"], len(r["event_id"])) == ("7", '{"n":3}', "pit_query", 16)
     assert set(audit.COVERED) <= set(rows.columns)
+
+
+def test_tokens_by_switches(spark):
+    key = bytes(range(32))
+    rows = spark.createDataFrame([("ACC_001234567",), ("ACC_001234567",), ("",), (None,)], "account string")
+    token = lambda **how: [r["t"] for r in rows.select(pii.tokenize(F.col("account"), "account_number", F.lit(key), key, **how).alias("t")).collect()]
+    a, b, empty, none = token()
+    assert a == b != "ACC_001234567" and empty == "" and none is None
+    a, b, *_ = token(deterministic=False)
+    assert a != b
+    a, b, *_ = token(preserve_format=True)
+    assert a == b != "ACC_001234567" and a.startswith("ACC_") and len(a) == 13
+    # A category without a form of its own isn't shifted.
+    assert rows.select(pii.tokenize(F.col("account"), "ssn", F.lit(key), key, preserve_format=True).alias("t")).first()["t"] != a
+
+
+def test_payloads_are_judged_by_what_they_are(spark):
+    """The label isn't looked at, and what isn't handled as it should be is told."""
+    rows = [("?", '{"path": "a/../b"}', "blocked"), ("?", '{"path": "a/b"}', "blocked"), ("?", '{"field": "f", "value": "x\\\\u0027y"}', "tokenised"), ("?", '{"data": "AAAA"}', "truncated")]
+    rows += [("sql_injection", '{"account_id": "a", "event_time": "2024-01-01T00:00:00Z", "amount": 3}', "rejected"), ("?", '{"account_id": "a", "event_time": "2030-01-01T00:00:00Z"}', "watermarked"), ("?", '{"account_id": "a", "event_time": "x"}', "rejected")]
+    judged = quality.verdict_on_payload(spark.createDataFrame(rows, "type string, payload string, expected string"), F.lit("2024-01-15").cast("timestamp"), bytes(32)).collect()
+    assert [r["handled"] for r in judged] == ["blocked", "rejected", "tokenised", "truncated", "accepted", "watermarked", "rejected"]
+    assert [r["passed"] for r in judged] == [True, False, True, True, False, True, True]
+
+
+def test_sketched_percentiles(spark):
+    rows = spark.range(100_000).select((F.col("id") * 7919 % 100_000 / 100).alias("x"), (F.col("id") % 3).alias("k"))
+    exact, sketch = ({r["k"]: r for r in quality.percentiles(rows, "x", ["k"], exact=e).collect()} for e in (True, False))
+    assert all(abs(exact[k][p] - sketch[k][p]) <= 0.5 for k in exact for p in ("p50", "p95", "p99"))
+
+
+def test_an_export_has_a_line_for_each_entry(spark, tmp_path):
+    log = audit.chain(spark.createDataFrame(ENTRIES, SCHEMA), ["day"], ORDER)
+    bounds = ("2024-01-01 00:00:05", "2024-01-03")
+    sinks.write_bundle(audit.compliance_bundle(log, *bounds, ["day"], ORDER), audit.compliance_lines(log, *bounds), ["day"], str(tmp_path))
+    assert {(r["day"], r["entry_count"], r["integrity_verified"]) for r in spark.read.json(f"{tmp_path}/summary").collect()} == {("1", 15, True), ("2", 20, True)}
+    assert spark.read.json(f"{tmp_path}/entries").groupBy("day").count().orderBy("day").collect() == [(1, 15), (2, 20)]

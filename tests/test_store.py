@@ -59,3 +59,19 @@ def test_the_log(store):
     store.get_feature_as_of(3, AT)
     log = store.audit_log()
     assert log.count() == before + 1 and log.filter("operation = 'PIT_QUERY' and user_id = 'tester'").count() > 0
+
+
+def test_the_log_is_chained(spark, sf, tmp_path):
+    """What was logged verifies as it was read from disk; a changed, a removed or an added row is found."""
+    store = FeatureStore(spark, str(tmp_path), user="tester")
+    rows = transactions(spark, sf).select("account_id").distinct()
+    store.log_audit("INSERT", rows)
+    store.log_audit("PIT_QUERY", rows.limit(5))
+    assert store.verify_audit_log()
+    log = store.audit_log().cache()
+    assert log.groupBy("segment").count().count() == 2
+    some = log.filter("operation = 'INSERT'").orderBy("event_id").collect()[3]["event_id"]
+    for changed in (log.withColumn("status", F.when(F.col("event_id") == some, "BAD").otherwise(F.col("status"))), log.filter(F.col("event_id") != some), log.unionByName(log.filter(F.col("event_id") == some).withColumn("event_id", F.lit("f" * 16)))):
+        folder = tmp_path / f"copy{id(changed)}"
+        changed.write.json(f"{folder}/audit")
+        assert not FeatureStore(spark, str(folder)).verify_audit_log()

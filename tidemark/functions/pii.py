@@ -73,9 +73,18 @@ def decrypt(token: Column, key: Column) -> Column:
     return F.try_aes_decrypt(F.try_to_binary(F.translate(token, "-_", "+/"), F.lit("base64")), key, F.lit("GCM"), F.lit("DEFAULT")).cast("string")
 
 
-def tokenize(value: Column, category: str, key: Column, secret: bytes) -> Column:
-    """A token that equal values of a category share, so that it can be joined on. The nonce is a keyed hash of
-    category and value. Null and empty values are left as they are."""
+#: Categories whose values keep their form if that is asked for.
+WITH_FORMAT = ("account_number", "credit_card")
+
+
+def tokenize(value: Column, category: str, key: Column, secret: bytes, deterministic: bool = True, preserve_format: bool = False) -> Column:
+    """A token that equal values of a category share, so that it can be joined on: the nonce is a keyed hash of category
+    and value. Without `deterministic` each token has a random nonce. With `preserve_format` account and card numbers
+    have their digits shifted instead, which can't be turned back. Null and empty values are left as they are."""
+    if preserve_format and category in WITH_FORMAT:
+        return F.when(value != "", shift_digits(value, secret.hex())).otherwise(value)
+    if not deterministic:
+        return F.when(value != "", encrypt(value, key)).otherwise(value)
     nonce = F.unhex(F.substring(hmac_sha256(F.concat(F.lit(category + ":"), value), secret), 1, 24))
     token = url_safe(F.aes_encrypt(value.cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), nonce))
     return F.when(value != "", token).otherwise(value)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,6 +68,12 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
     return F.sha2(F.concat(outer, once), 256)
 
 
+def new_id() -> Column:
+    """A random id of version 4 for each row; another one whenever it is computed."""
+    return F.uuid()
+
+
+@lru_cache(maxsize=64)
 def derive_key(password: str, salt: bytes, rounds: int = 100_000) -> bytes:
     """PBKDF2-SHA256, 32 bytes; once, on the driver."""
     return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, rounds, 32)

@@ -50,8 +50,8 @@ def histogram(df: DataFrame, value: str, buckets, by: list[str]) -> DataFrame:
     return out.select(*by, F.inline("h"))
 
 
-def percentiles(df: DataFrame, value: str, by: list[str], exact: bool = True) -> DataFrame:
-    """p50, p95, p99. The exact form holds the distinct values of a group; the other a sketch of bounded size."""
+def percentiles(df: DataFrame, value: str, by: list[str], exact: bool = False) -> DataFrame:
+    """p50, p95, p99, by a sketch of bounded size. The exact form holds the distinct values of a group."""
     of = (lambda p: F.percentile(value, F.lit(p))) if exact else (lambda p: F.percentile_approx(value, F.lit(p), F.lit(10_000)))
     return df.groupBy(*by).agg(*[of(p / 100).alias(f"p{p}") for p in (50, 95, 99)])
 
@@ -114,21 +114,27 @@ def tier(time: Column, now: Column) -> Column:
     return F.when(time >= now - F.expr("INTERVAL 7 DAYS"), "hot").when(time >= now - F.expr("INTERVAL 90 DAYS"), "cold").otherwise("expired")
 
 
-def verdict_on_payload(df: DataFrame, now: Column) -> DataFrame:
-    """Adversarial payloads (type, payload as JSON): how each is handled, and whether that is what is expected.
+def verdict_on_payload(df: DataFrame, now: Column, key: bytes) -> DataFrame:
+    """Payloads (payload as JSON, expected): how the engine's own rules handle each, and whether that is what is expected.
+    What a payload is follows from its fields alone.
+
+    A path that leads upwards is blocked. A text field becomes a token, and counts as tokenised if that gives the text back and doesn't show it. Bulk
+    data is cut at MAX_TEXT characters. Anything else is an event: rejected if the boundary's rules find errors, held
+    back by the watermark if it is from the future."""
+    from tidemark.functions.pii import decrypt, tokenize
 
-    Events that fail the boundary's rules are rejected; text is carried as data, never run, and cut at MAX_TEXT
-    characters; paths that lead upwards are blocked; events from the future are held back by the watermark."""
     get = lambda k: F.get_json_object("payload", f"$.{k}")
-    at = parse_event_time(get("event_time"))
-    amount = F.coalesce(get("data.amount"), get("amount"))
-    number = amount.try_cast("double")
-    bad = get("account_id").isNull() | (F.coalesce(get("account_id"), F.lit("")) == "") | at.isNull() | (amount.isNotNull() & (number.isNull() | F.isnan(number) | (F.abs(number) == float("inf"))))
+    flat = df.withColumns({"path_": get("path"), "value_": get("value"), "data_": get("data"), "account_id_": get("account_id"), "event_time_": get("event_time"), "amount_": F.coalesce(get("data.amount"), get("amount"))})
+    found = errors(["account_id_", "event_time_"], "amount_", "event_time_")
+    token = tokenize(F.col("value_"), "CUSTOM", F.lit(key), key)
+    held_back = parse_event_time(F.col("event_time_")) > now
+    is_event = F.col("account_id_").isNotNull() | F.col("event_time_").isNotNull()
     handled = (
-        F.when(F.col("type").isin("malformed", "schema_poisoning"), F.when(bad, "rejected").otherwise("accepted"))
-        .when(F.col("type").isin("sql_injection", "xss"), F.when(get("value").isNotNull(), "tokenised").otherwise("rejected"))
-        .when(F.col("type") == "path_traversal", F.when(get("path").rlike(r"(^|/)\.\.(/|$)"), "blocked").otherwise("accepted"))
-        .when(F.col("type") == "buffer_overflow", F.when(F.length(get("data")) > MAX_TEXT, "truncated").otherwise("accepted"))
-        .when(F.col("type") == "future_timestamp", F.when(at > now, "watermarked").otherwise("accepted"))
+        F.when(F.col("path_").rlike(r"(^|/)\.\.(/|$)"), "blocked")
+        .when(F.col("value_").isNotNull() & get("field").isNotNull(), F.when((decrypt(token, F.lit(key)) == F.col("value_")) & ~F.contains(token, F.col("value_")), "tokenised").otherwise("exposed"))
+        .when(F.col("data_").isNotNull() & ~is_event, F.when(F.length(F.left("data_", F.lit(MAX_TEXT))) <= MAX_TEXT, "truncated").otherwise("accepted"))
+        .when(F.size(found) > 0, "rejected")
+        .when(held_back, "watermarked")
+        .otherwise("accepted")
     )
-    return df.withColumn("handled", handled).withColumn("passed", F.col("handled") == F.col("expected"))
+    return flat.withColumn("handled", handled).withColumn("passed", F.col("handled") == F.col("expected")).select(*df.columns, "handled", "passed")

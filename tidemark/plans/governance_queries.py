@@ -64,11 +64,20 @@ def leak_scan(spark, sf):
     return _docs(spark, sf).filter(~F.col("text").startswith("***")).select("doc_id", F.array_join(pii.scan(["text"]), ";").alias("leaks"))
 
 
-@query("SELECT 'card' AS field, 'card may contain credit_card' AS strict, '' AS legacy")
+_CARDS = "SELECT c_custkey, printf('4%015d', c_custkey * 7919) AS bare, printf('4%015d', c_custkey * 7919)[1:4] || '-' || printf('4%015d', c_custkey * 7919)[5:8] || '-' || printf('4%015d', c_custkey * 7919)[9:12] || '-' || printf('4%015d', c_custkey * 7919)[13:16] AS spaced FROM customer"
+_IS_CARD = f"regexp_matches(card, '{pii.PATTERNS['credit_card']}')"
+
+
+@query(
+    f"WITH c AS ({_CARDS}), x AS (SELECT c_custkey, unnest([bare, spaced]) AS card FROM c) SELECT c_custkey, card, CASE WHEN {_IS_CARD} THEN 'card may contain credit_card' ELSE '' END AS strict,"
+    f" CASE WHEN {_IS_CARD} AND NOT regexp_matches(card, '^[0-9A-Za-z]+$') THEN 'card may contain credit_card' ELSE '' END AS legacy FROM x"
+)
 def leak_scan_legacy(spark, sf):
-    """A bare card number: the strict rule reports it, the legacy rule passes it over."""
-    one = spark.range(1).select(F.lit("4111111111111111").alias("card"))
-    return one.select(F.lit("card").alias("field"), F.array_join(pii.scan(["card"]), ";").alias("strict"), F.array_join(pii.scan(["card"], legacy=True), ";").alias("legacy"))
+    """Card numbers, bare and with dashes: the strict rule reports both, the legacy rule passes over the bare ones."""
+    bare = F.format_string("4%015d", F.col("c_custkey") * 7919)
+    dashed = F.concat_ws("-", *[F.substring(bare, k, 4) for k in (1, 5, 9, 13)])
+    cards = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", F.explode(F.array(bare, dashed)).alias("card"))
+    return cards.select("c_custkey", "card", F.array_join(pii.scan(["card"]), ";").alias("strict"), F.array_join(pii.scan(["card"], legacy=True), ";").alias("legacy"))
 
 
 _PREVIEWS = " UNION ALL ".join(f"SELECT doc_id, 'text' AS field, '{k}' AS pii_type, substr(text, 1, 4) || '***' AS value_preview FROM documents WHERE {_rlike('text', p)}" for k, p in pii.PREVIEW_PATTERNS.items())
@@ -94,22 +103,36 @@ def keyed_hashes(spark, sf):
     return _people(spark, sf).select("c_custkey", hmac_sha256(F.col("ssn"), b"tidemark").alias("hash"))
 
 
-@query(f"WITH {PEOPLE} SELECT c_custkey, account, account AS back, true AS differs FROM p")
+def _hmac_sql(message: str) -> str:
+    key = derive_key(DEMO_PASSWORD, DEMO_SALT)
+    return f"sha256(unhex('{_pad(key, 0x5C)}') || unhex(sha256(unhex('{_pad(key, 0x36)}') || encode({message}))))"
+
+
+def _nonce(token):
+    """The first 12 bytes of a token, in hex."""
+    return F.lower(F.substring(F.hex(F.unbase64(F.translate(token, "-_", "+/"))), 1, 24))
+
+
+def _size(token):
+    return F.octet_length(F.unbase64(F.translate(token, "-_", "+/"))).cast("bigint")
+
+
+@query(f"WITH {PEOPLE} SELECT c_custkey, account, account AS back, left({_hmac_sql("'account_number:' || account")}, 24) AS nonce, 28 + strlen(account)::BIGINT AS size FROM p")
 def account_tokens(spark, sf):
     """Repeatable tokens, joined on and turned back: every account finds itself."""
-    key = derive_key(DEMO_PASSWORD, DEMO_SALT, 1000)
+    key = derive_key(DEMO_PASSWORD, DEMO_SALT)
     token = pii.tokenize(F.col("account"), "account_number", F.lit(key), key)
     p = _people(spark, sf).select("c_custkey", "account")
     a, b = p.select("c_custkey", token.alias("token")), p.select(F.col("account"), token.alias("token"))
-    return a.join(b, "token").select("c_custkey", "account", pii.decrypt(F.col("token"), F.lit(key)).alias("back"), (F.col("token") != F.col("account")).alias("differs"))
+    return a.join(b, "token").select("c_custkey", "account", pii.decrypt(F.col("token"), F.lit(key)).alias("back"), _nonce(F.col("token")).alias("nonce"), _size(F.col("token")).alias("size"))
 
 
-@query(f"WITH {PEOPLE} SELECT c_custkey, account AS back, true AS differs, NULL::VARCHAR AS of_garbage FROM p")
+@query(f"WITH {PEOPLE} SELECT c_custkey, account AS back, 28 + strlen(account)::BIGINT AS size, NULL::VARCHAR AS of_garbage FROM p")
 def random_tokens(spark, sf):
     """Tokens with a random nonce: no two alike, all turned back; what isn't a token gives null."""
-    key = F.lit(derive_key(DEMO_PASSWORD, DEMO_SALT, 1000))
+    key = F.lit(derive_key(DEMO_PASSWORD, DEMO_SALT))
     p = _people(spark, sf).select("c_custkey", "account", pii.encrypt(F.col("account"), key).alias("t"))
-    return p.select("c_custkey", pii.decrypt(F.col("t"), key).alias("back"), (F.col("t") != F.col("account")).alias("differs"), pii.decrypt(F.lit("bm90IGEgdG9rZW4"), key).alias("of_garbage"))
+    return p.select("c_custkey", pii.decrypt(F.col("t"), key).alias("back"), _size(F.col("t")).alias("size"), pii.decrypt(F.lit("bm90IGEgdG9rZW4"), key).alias("of_garbage"))
 
 
 _DIGITS = f"""h AS (SELECT c_custkey, account, sha256('{KEY_HEX}:' || regexp_replace(account, '[^0-9]', '', 'g')) AS x FROM p),
@@ -122,12 +145,12 @@ def shifted_digits(spark, sf):
     return _people(spark, sf).select("c_custkey", pii.shift_digits(F.col("account"), KEY_HEX).alias("shifted"))
 
 
-@query(f"WITH {PEOPLE} SELECT c_custkey, left(zip, 3) || '**' AS zip, true AS has_token, name = '' AS empty_name FROM p")
+@query(f"WITH {PEOPLE} SELECT c_custkey, left(zip, 3) || '**' AS zip, left({_hmac_sql("'ssn:' || ssn")}, 24) AS ssn_nonce, CASE WHEN name <> '' THEN left({_hmac_sql("'CUSTOM:' || name")}, 24) ELSE name END AS name_nonce FROM p")
 def sanitized_people(spark, sf):
-    key = derive_key(DEMO_PASSWORD, DEMO_SALT, 1000)
+    key = derive_key(DEMO_PASSWORD, DEMO_SALT)
     p = pii.sanitize(_people(spark, sf), ["ssn"], {"zip": "zip"}, F.lit(key), key)
     p = pii.tokenize_fields(p, ["name", "no_such_field"], {}, F.lit(key), key)
-    return p.select("c_custkey", "zip", F.col("ssn_token").isNotNull().alias("has_token"), (F.col("name") == "").alias("empty_name"))
+    return p.select("c_custkey", "zip", _nonce(F.col("ssn_token")).alias("ssn_nonce"), F.when(F.col("name") != "", _nonce(F.col("name"))).otherwise(F.col("name")).alias("name_nonce"))
 
 
 @query(f"WITH {TX} SELECT transaction_id, date_trunc('hour', event_time) AS event_hour FROM tx")
@@ -162,25 +185,47 @@ ENTRIES = f"""{TX}, log AS (SELECT event_time AS timestamp, printf('%016x', tran
 ORDER = ["timestamp", "event_id"]
 
 
-@query(f"WITH {TX} SELECT 0::BIGINT AS broken, true AS intact FROM tx LIMIT 1")
+#: What the chain of the queries covers: texts alone, which both sides write alike. A day's log is of ten writers.
+CHAINED = ("account_id", "action", "event_id", "operation", "status", "user_id")
+SEGMENT = ["day", "user_id"]
+CHAIN = f"""{ENTRIES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY day, user_id ORDER BY timestamp, event_id) AS i,
+ '{{{{' || concat_ws(',', {", ".join(f"'\"{c}\":\"' || {c} || '\"'" for c in CHAINED)}) || '}}}}' AS content FROM log),
+chain AS (SELECT day, user_id, event_id, i, 'genesis' AS prev_checksum, sha256(content || 'genesis') AS checksum FROM numbered WHERE i = 1
+ UNION ALL SELECT n.day, n.user_id, n.event_id, n.i, c.checksum, sha256(n.content || c.checksum) FROM chain c JOIN numbered n ON n.day = c.day AND n.user_id = c.user_id AND n.i = c.i + 1)""".replace("{{", "{").replace("}}", "}")
+
+
+def _chain(spark, sf):
+    return audit.chain(_entries(spark, sf), SEGMENT, ORDER, CHAINED)
+
+
+@query(f"WITH RECURSIVE {CHAIN} SELECT event_id, prev_checksum, checksum FROM chain")
+def audit_checksums(spark, sf):
+    """Every entry's checksum and its predecessor's."""
+    return _chain(spark, sf).select("event_id", "prev_checksum", "checksum")
+
+
+@query(f"WITH RECURSIVE {CHAIN} SELECT day, user_id, arg_max(checksum, i) AS head, count(*) AS n, count(*) FILTER (prev_checksum IS NULL) AS broken FROM chain GROUP BY ALL")
 def audit_chain_intact(spark, sf):
-    return audit.verify(audit.chain(_entries(spark, sf), ["day"], ORDER), ["day"], ORDER)
+    """Each segment's last checksum, and how many of its rows don't verify."""
+    log = _chain(spark, sf)
+    bad = audit.broken_links(log, SEGMENT, ORDER, CHAINED).groupBy(*SEGMENT).agg(F.count("*").alias("broken"))
+    return audit.heads(log, SEGMENT, ORDER).join(bad, SEGMENT, "left").select(*SEGMENT, "head", "n", F.coalesce("broken", F.lit(0)).alias("broken"))
 
 
 @query(f"WITH {ENTRIES} SELECT event_id FROM log WHERE event_id = printf('%016x', 77)")
 def audit_chain_tampered(spark, sf):
     """One entry's content is changed afterwards: it is found, and it alone."""
-    log = audit.chain(_entries(spark, sf), ["day"], ORDER)
+    log = audit.chain(_entries(spark, sf), SEGMENT, ORDER)
     bad = log.withColumn("status", F.when(F.col("event_id") == f"{77:016x}", "CHANGED").otherwise(F.col("status")))
-    return audit.broken_links(bad, ["day"], ORDER).select("event_id")
+    return audit.broken_links(bad, SEGMENT, ORDER).select("event_id")
 
 
-@query(f"WITH {ENTRIES} SELECT day, count(*) AS n, arg_max(event_id, (timestamp, event_id)) AS last_event FROM log GROUP BY ALL")
+@query(f"WITH {ENTRIES} SELECT day, user_id, count(*) AS n, arg_max(event_id, (timestamp, event_id)) AS last_event FROM log GROUP BY ALL")
 def audit_segments(spark, sf):
-    log = audit.chain(_entries(spark, sf), ["day"], ORDER)
-    heads = audit.heads(log, ["day"], ORDER)
-    last = log.groupBy("day").agg(F.max_by("event_id", F.struct(*ORDER)).alias("last_event"), F.max_by("checksum", F.struct(*ORDER)).alias("sum"))
-    return heads.join(last, "day").filter("head = sum").select("day", "n", "last_event")
+    log = audit.chain(_entries(spark, sf), SEGMENT, ORDER)
+    heads = audit.heads(log, SEGMENT, ORDER)
+    last = log.groupBy(*SEGMENT).agg(F.max_by("event_id", F.struct(*ORDER)).alias("last_event"), F.max_by("checksum", F.struct(*ORDER)).alias("sum"))
+    return heads.join(last, SEGMENT).filter("head = sum").select("day", "user_id", "n", "last_event")
 
 
 @query(f"WITH {ENTRIES} SELECT event_id, operation, account_id FROM log WHERE timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND account_id = 'acc_7' AND operation = 'PIT_QUERY'")
@@ -189,10 +234,16 @@ def audit_entries(spark, sf):
     return audit.entries(log, F.lit("2024-01-05").cast(NTZ), F.lit("2024-01-20").cast(NTZ), "acc_7", "PIT_QUERY").select("event_id", "operation", "account_id")
 
 
-@query(f"WITH {ENTRIES} SELECT day, count(*) AS entry_count, true AS integrity_verified FROM log WHERE timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' GROUP BY ALL")
+_BUNDLE = "timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'"
+
+
+@query(f"WITH RECURSIVE {CHAIN} SELECT day, user_id, count(*) AS entry_count, arg_max(checksum, i) AS last_checksum, day <> '20240107' OR user_id <> 'user_3' AS integrity_verified FROM chain JOIN log USING (day, user_id, event_id) WHERE {_BUNDLE} GROUP BY ALL")
 def compliance_export(spark, sf):
-    log = audit.chain(_entries(spark, sf), ["day"], ORDER)
-    return audit.compliance_bundle(log, F.lit("2024-01-05").cast(NTZ), F.lit("2024-01-20").cast(NTZ), ["day"], ORDER).select("day", "entry_count", "integrity_verified")
+    """One segment's first row is changed after the chain was made; the others verify."""
+    log = _chain(spark, sf)
+    altered = (F.col("day") == "20240107") & (F.col("user_id") == "user_3") & (F.col("prev_checksum") == audit.GENESIS)
+    log = log.withColumn("status", F.when(altered, "CHANGED").otherwise(F.col("status")))
+    return audit.compliance_bundle(log, F.lit("2024-01-05").cast(NTZ), F.lit("2024-01-20").cast(NTZ), SEGMENT, ORDER, CHAINED)
 
 
 @query(f"WITH {TX} SELECT transaction_id, substr(sha256(strftime(event_time, '%Y-%m-%d %H:%M:%S') || ':' || transaction_id || ':genesis'), 1, 16) AS event_id FROM tx")
@@ -220,7 +271,7 @@ def latency_histogram(spark, sf):
 
 @query(f"WITH {ENTRIES} SELECT operation, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99 FROM log GROUP BY ALL")
 def latency_percentiles(spark, sf):
-    p = quality.percentiles(_entries(spark, sf), "latency_ms", ["operation"])
+    p = quality.percentiles(_entries(spark, sf), "latency_ms", ["operation"], exact=True)
     return p.select("operation", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
@@ -239,7 +290,7 @@ def ingest_gauges(spark, sf):
 @query(f"WITH {ENTRIES}, m AS (SELECT 'late_events' AS metric, count(*)::DOUBLE AS value FROM tx WHERE processing_time > event_time + INTERVAL 10 MINUTE UNION ALL SELECT 'pit_query_p99', quantile_cont(latency_ms, 0.99) FROM log WHERE operation = 'PIT_QUERY' UNION ALL SELECT 'pii_masking_failures', 0), r AS (SELECT * FROM (VALUES ('HighLateRate', 'late_events', 100, 'warning'), ('SlowQueries', 'pit_query_p99', 0.2, 'critical'), ('MaskingFailure', 'pii_masking_failures', 0, 'critical')) t(alert, metric, above, severity)) SELECT alert, metric, round(value, 6) AS value, severity FROM m JOIN r USING (metric) WHERE value > above")
 def firing_alerts(spark, sf):
     late = transactions(spark, sf).filter("processing_time > event_time + INTERVAL 10 MINUTES").agg(F.lit("late_events").alias("metric"), F.count("*").cast("double").alias("value"))
-    p99 = quality.percentiles(_entries(spark, sf).filter("operation = 'PIT_QUERY'"), "latency_ms", []).select(F.lit("pit_query_p99").alias("metric"), F.col("p99").alias("value"))
+    p99 = quality.percentiles(_entries(spark, sf).filter("operation = 'PIT_QUERY'"), "latency_ms", [], exact=True).select(F.lit("pit_query_p99").alias("metric"), F.col("p99").alias("value"))
     none = spark.range(1).select(F.lit("pii_masking_failures").alias("metric"), F.lit(0.0).alias("value"))
     rules = [("HighLateRate", "late_events", 100.0, "warning"), ("SlowQueries", "pit_query_p99", 0.2, "critical"), ("MaskingFailure", "pii_masking_failures", 0.0, "critical")]
     return quality.alerts(late.unionByName(p99).unionByName(none), rules).withColumn("value", F.round("value", 6))

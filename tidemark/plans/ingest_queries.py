@@ -109,7 +109,7 @@ def unwrapped_changes(spark, sf):
     return out.withColumn("connect_timestamp", F.col("connect_timestamp").cast(NTZ))
 
 
-@query("SELECT 'tx_' || i AS transaction_id, printf('ACC_%06d', i % 1000) AS account_id, TIMESTAMP '2024-01-15 12:00:00' - to_seconds(i % 86400) AS event_time, (i % 10000) / 100.0::DOUBLE AS amount, printf('MERCHANT_%03d', i % 100) AS merchant_id, ['retail', 'food', 'travel', 'online'][(i % 4) + 1] AS category FROM range(5000) t(i)")
+@query("SELECT 'tx_' || i AS transaction_id, printf('ACC_%06d', i % 1000) AS account_id, TIMESTAMP '2024-01-15 12:00:00' - to_seconds(i % 86400) AS event_time, (i % 10000) / 100.0::DOUBLE AS amount, printf('MERCHANT_%03d', i % 100) AS merchant_id, ['retail', 'food', 'travel', 'entertainment'][(i % 4) + 1] AS category FROM range(5000) t(i)")
 def generated_events(spark, sf):
     return readers.generate(spark, 5000).select("transaction_id", "account_id", "event_time", "amount", "merchant_id", "category")
 
@@ -163,7 +163,7 @@ def truncated_texts(spark, sf):
 @query("SELECT * FROM (VALUES ('buffer_overflow', 20::BIGINT, 20::BIGINT, 1::DOUBLE), ('future_timestamp', 25, 25, 1), ('malformed', 50, 50, 1), ('path_traversal', 20, 20, 1), ('schema_poisoning', 25, 25, 1), ('sql_injection', 30, 30, 1), ('xss', 32, 32, 1)) t(type, n, passed, rate)")
 def adversarial_tally(spark, sf):
     """202 payloads, how many of each kind are handled as expected, and the rate."""
-    judged = Q.verdict_on_payload(readers.adversarial_payloads(spark), F.lit("2024-01-15 12:00:00").cast("timestamp"))
+    judged = Q.verdict_on_payload(readers.adversarial_payloads(spark), F.lit("2024-01-15 12:00:00").cast("timestamp"), b"0123456789abcdef" * 2)
     return judged.groupBy("type").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.avg(F.col("passed").cast("double")).alias("rate"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.scalars import new_id
 from tidemark.model import EVENT, flatten
 
 
@@ -67,13 +68,14 @@ def unwrap_changes(changes: DataFrame, row: T.StructType, column: str = "value",
     return parsed.select(*values, (F.col("r_.op") == "d").alias("__deleted"), F.timestamp_millis(F.col("r_.ts_ms")).alias("connect_timestamp"))
 
 
-def generate(spark: SparkSession, n: int = 1000, base: str = "2024-01-15 12:00:00", partitions: int | None = None) -> DataFrame:
-    """Sample events: 1000 accounts, 100 merchants, 4 categories, one a second backwards from `base`."""
+def generate(spark: SparkSession, n: int = 1000, base: str = "2024-01-15 12:00:00", partitions: int | None = None, random_ids: bool = False) -> DataFrame:
+    """Sample events: 1000 accounts, 100 merchants, 4 categories, one a second backwards from `base`. Their ids are
+    numbers, or random."""
     i = F.col("id")
-    categories = F.array(*map(F.lit, ("retail", "food", "travel", "online")))
+    categories = F.array(*map(F.lit, ("retail", "food", "travel", "entertainment")))
     rows = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
     return rows.select(
-        F.concat(F.lit("tx_"), i).alias("transaction_id"),
+        (new_id() if random_ids else F.concat(F.lit("tx_"), i)).alias("transaction_id"),
         F.format_string("ACC_%06d", F.pmod(i, F.lit(1000))).alias("account_id"),
         (F.lit(base).cast("timestamp_ntz") - F.make_dt_interval(secs=F.pmod(i, F.lit(86400)))).alias("event_time"),
         F.lit("TRANSACTION").alias("event_type"),
@@ -96,7 +98,7 @@ def adversarial_payloads(spark: SparkSession, now: str = "2024-01-15T12:00:00Z")
     rows += [("sql_injection", {"field": f"account_{i}", "value": sql[i % len(sql)]}, "tokenised") for i in range(30)]
     rows += [("xss", {"field": f"field_{i}", "value": scripts[i % len(scripts)]}, "tokenised") for i in range(32)]
     rows += [("path_traversal", {"path": "/".join([".."] * (1 + i % 10)) + "/etc/passwd"}, "blocked") for i in range(20)]
-    rows += [("buffer_overflow", {"data": "A" * (11_000 + 4_000 * i)}, "truncated") for i in range(20)]
-    rows += [("schema_poisoning", {"transaction_id": f"tx_{i}", "account_id": "acc_001", "event_time": "invalid-date-format", "amount": "not_a_number", "__proto__": "polluted"}, "rejected") for i in range(25)]
-    rows += [("future_timestamp", {"transaction_id": f"tx_future_{i}", "account_id": "acc_001", "event_time": (at + timedelta(days=365 + 130 * i)).isoformat(), "event_type": "TRANSACTION", "data": {"amount": 999999.99}}, "watermarked") for i in range(25)]
+    rows += [("buffer_overflow", {"data": "A" * (1_000 + 5_210 * i)}, "truncated") for i in range(20)]
+    rows += [("schema_poisoning", {"transaction_id": f"tx_{i}", "account_id": "acc_001", "event_time": "invalid-date-format", "amount": "not_a_number", "__proto__": "polluted", "constructor": {"prototype": {"admin": True}}}, "rejected") for i in range(25)]
+    rows += [("future_timestamp", {"transaction_id": f"tx_future_{i}", "account_id": "acc_001", "event_time": (at + timedelta(days=365 + 130 * i)).isoformat(), "event_type": "TRANSACTION", "data": {"amount": 999999.99, "currency": "USD"}}, "watermarked") for i in range(25)]
     return spark.createDataFrame([(a, json.dumps(b), c) for a, b, c in rows], "type string, payload string, expected string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +14,22 @@ REQUIRED = ("account_id", "event_time", "event_type")
 SNAPSHOT_DEFAULTS = ("transaction_count_1h", "transaction_count_24h", "total_amount_1h", "total_amount_24h", "avg_amount_1h", "avg_amount_24h", "unique_merchants_24h", "max_amount_24h", "min_amount_24h", "risk_score")
 
 
-def outgoing(events: DataFrame, sent_at=None) -> DataFrame:
-    """Events as they are sent: those without a required field are left out, repeated keys once, stamped with
-    processing_time and _dedup_key; `key` is the partition key."""
+def outgoing(events: DataFrame, sent_at=None, sent: DataFrame | None = None, remember: str = "1 HOUR") -> DataFrame:
+    """Events as they are sent: those without a required field are left out, of repeated keys the earliest event counts (then
+    the smallest by its other columns), stamped with processing_time and _dedup_key; `key` is the partition key. What
+    `sent` (_dedup_key, processing_time) has of the time `remember` before isn't sent again."""
     whole = events
     for c in REQUIRED:
         whole = whole.filter(F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
     key = dedup_key(F.col("transaction_id"), F.col("account_id"), F.col("event_time"), F.col("event_type"), F.col("amount"))
-    stamped = whole.withColumn("_dedup_key", key).withColumn("processing_time", sent_at if sent_at is not None else F.current_timestamp())
-    return stamped.dropDuplicates(["_dedup_key"]).withColumn("key", F.col("account_id").cast("string"))
+    now = sent_at if sent_at is not None else F.current_timestamp()
+    first = F.min(F.struct("event_time", *[F.col(c) for c in whole.columns if c not in ("event_time", "processing_time")]))
+    once = whole.withColumn("_dedup_key", key).groupBy("_dedup_key").agg(first.alias("e_")).select("e_.*", "_dedup_key")
+    once = once.select(*[c for c in whole.columns if c != "processing_time"], "_dedup_key").withColumn("processing_time", now)
+    if sent is not None:
+        recent = sent.filter(F.col("processing_time") >= now - F.expr(f"INTERVAL {remember}")).select("_dedup_key")
+        once = once.join(recent, "_dedup_key", "left_anti")
+    return once.withColumn("key", F.col("account_id").cast("string"))
 
 
 def write_feed(events: DataFrame, folder: str) -> None:
@@ -44,9 +53,11 @@ def snapshots(vectors: DataFrame, computation_version: str = "1.0") -> DataFrame
     )
 
 
-def write_snapshots(rows: DataFrame, folder: str) -> None:
-    """Appended by day, sorted by account and time within a file, so that row groups are skipped by either."""
-    rows.repartition("day").sortWithinPartitions("account_id", "snapshot_time").write.mode("append").partitionBy("day").parquet(folder)
+def write_snapshots(rows: DataFrame, folder: str, files: int = 8) -> None:
+    """Appended by day, in so many files a day at most by the account's hash, so that a day isn't one task's work; sorted
+    by account and time within a file, so that row groups are skipped by either."""
+    part = F.pmod(F.xxhash64("account_id"), F.lit(files))
+    rows.repartition("day", part).sortWithinPartitions("account_id", "snapshot_time").write.mode("append").partitionBy("day").parquet(folder)
 
 
 def read_snapshots(spark: SparkSession, folder: str, at: str) -> DataFrame:
@@ -60,23 +71,90 @@ def write_lines(df: DataFrame, folder: str) -> None:
     df.write.mode("append").json(folder)
 
 
-def upsert_batch(folder: str, key: list[str], version: str):
-    """For foreachBatch: rewrites a keyed Parquet table with a batch's rows, newer versions winning. A batch that comes
-    twice changes nothing the second time. The table is written beside the old one and put in its place."""
+#: Stretches of the key's hash that an upserted table is kept in; a batch rewrites those that it has rows of.
+BUCKETS = 64
+_NEXT, _READY = "_next", "_READY"
+
+
+class _Folder:
+    """The few file operations of an upserted table, by Hadoop's file system of the folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm = spark._jvm
+        self.root = folder
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
+    def names(self, name: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self._path(name))) if self.exists(name) else []
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)
+
+    def rename(self, name: str, to: str) -> None:
+        if not self.fs.rename(self._path(name), self._path(to)):
+            raise OSError(f"can't rename {name} to {to} in {self.root}")
+
+    def touch(self, name: str) -> None:
+        self.fs.create(self._path(name), True).close()
+
+
+_JOB = re.compile(r"-([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})")
+
+
+def _settle(at: _Folder) -> None:
+    """Ends what an interrupted batch has begun: what was written whole takes its place, what wasn't goes. Each step can be
+    repeated: a bucket's old files, those of other jobs, are deleted only while its new ones wait to be moved."""
+    if at.exists(f"{_NEXT}/{_READY}"):
+        there = at.names("")
+        for bucket in at.names(_NEXT):
+            for name in at.names(f"{_NEXT}/{bucket}") if bucket.startswith("bucket=") else ():
+                own = bucket.removeprefix("bucket=") + "-"
+                for old in [x for x in there if x.startswith(own) and _JOB.findall(x) != _JOB.findall(name)]:
+                    at.delete(old)
+                    there.remove(old)
+                at.rename(f"{_NEXT}/{bucket}/{name}", own + name)
+    at.delete(_NEXT)
+
+
+def upserted(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that upsert_batch keeps in `folder`, after an interrupted batch too. Not while a batch is being written."""
+    _settle(_Folder(spark, folder))
+    return spark.read.parquet(folder)
+
+
+def upsert_batch(folder: str, key: list[str], version: str, buckets: int = BUCKETS):
+    """For foreachBatch: writes a batch's rows over a keyed Parquet table, newer versions winning. A batch that comes twice
+    changes nothing the second time.
+
+    The table's files are of buckets of the key's hash, and only those that the batch has rows of are rewritten: first all beside
+    the table, then, once a mark says that they are whole, each in the place of the old ones. Whoever comes next ends what a
+    crash has left, so a batch is in the table as a whole or not at all."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        jvm = spark._jvm
-        hadoop = spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        fs = path.getFileSystem(hadoop)
-        rows = upsert(spark.read.parquet(folder), batch, key, version) if fs.exists(path) else upsert(batch.limit(0), batch, key, version)
-        rows.write.mode("overwrite").parquet(f"{folder}-next")
-        fs.delete(path, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(f"{folder}-next"), path)
+        at = _Folder(spark, folder)
+        _settle(at)
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets))).persist()
+        met = {str(r["bucket"]) for r in batch.select("bucket").distinct().collect()}  # `buckets` rows at most
+        there = [f"{folder}/{x}" for x in at.names("") if x.split("-")[0] in met]
+        old = spark.read.parquet(*there).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets))) if there else batch.limit(0)
+        rows = upsert(old, batch, [*key, "bucket"], version)
+        if met:
+            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{_NEXT}")
+            at.touch(f"{_NEXT}/{_READY}")
+            _settle(at)
+        batch.unpersist()
 
     return run
 
 
-def write_bundle(bundle: DataFrame, folder: str) -> None:
-    bundle.write.mode("overwrite").json(folder)
+def write_bundle(summary: DataFrame, lines: DataFrame, segment: list[str], folder: str) -> None:
+    """An export: a row for each segment, and the entries as JSON lines in folders by segment."""
+    lines.write.mode("overwrite").partitionBy(*segment).json(f"{folder}/entries")
+    summary.write.mode("overwrite").json(f"{folder}/summary")

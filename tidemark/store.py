@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from tidemark.operators import windows as W
 from tidemark.sources import sinks
 
 TIME = "snapshot_time"
+#: Of the rows of one call, which share their time.
+ORDER = ["timestamp", "event_id"]
 
 
 def _at(value) -> Column:
@@ -46,8 +49,11 @@ class FeatureStore:
         sinks.write_snapshots(sinks.snapshots(vectors, computation_version).withColumn("created_at", created), f"{self.folder}/snapshots")
 
     def log_audit(self, operation: str, rows: DataFrame, latency_ms: float = 0.0, details: list[str] | None = None) -> None:
+        """Each call appends a chain of its own, named by `segment`; verify_audit_log() checks them all."""
         log = audit.entry(rows, operation, "feature_snapshots", F.lit(self.user), F.lit(latency_ms), details or [], F.current_timestamp())
-        sinks.write_lines(log, f"{self.folder}/audit")
+        # The text of a time as it is stored, so that what is read again is what was hashed.
+        log = log.withColumns({"timestamp": F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "segment": F.lit(uuid.uuid4().hex)})
+        sinks.write_lines(audit.chain(log, ["segment"], ORDER), f"{self.folder}/audit")
 
     # Reading
 
@@ -70,6 +76,8 @@ class FeatureStore:
             rows = rows.filter(F.col("account_id").isin(list(account_ids)))
         found = H.as_of(rows, "account_id", TIME, _at(at)).select("account_id", TIME, *self._names(rows, names))
         if self.user:
+            # Read once: the log and the caller get the same rows, and what is logged has been read.
+            found = found.persist()
             self.log_audit("PIT_QUERY", found.select("account_id", TIME), details=[TIME])
         return found
 
@@ -102,4 +110,9 @@ class FeatureStore:
         return bool(H.leakage(rows, TIME, "created_at", _at(at)).first()["passed"])
 
     def audit_log(self) -> DataFrame:
-        return self.spark.read.schema("timestamp timestamp, operation string, user_id string, account_id string, resource string, action string, status string, latency_ms double, metadata string, event_id string").json(f"{self.folder}/audit")
+        columns = "timestamp string, operation string, user_id string, account_id string, resource string, action string, status string, latency_ms double, metadata string, event_id string, segment string, prev_checksum string, checksum string"
+        return self.spark.read.schema(columns).json(f"{self.folder}/audit")
+
+    def verify_audit_log(self) -> bool:
+        """Whether every row is as it was written and follows the one before it; true of an empty log."""
+        return bool(audit.verify(self.audit_log(), ["segment"], ORDER).first()["intact"])

@@ -102,6 +102,12 @@ def split_by_route(folder: str):
     return run
 
 
-def ingest_metrics(stream: DataFrame, time: str) -> DataFrame:
-    """Counters that each batch reports with its progress: rows, nulls, and the latest event time."""
-    return stream.observe("ingest", F.count("*").alias("rows"), F.count(F.when(F.col(time).isNull(), 1)).alias("without_time"), F.max(time).alias("latest"))
+def ingest_metrics(stream: DataFrame, time: str, arrival: str = "processing_time", key: str = "transaction_id", late: str = "10 MINUTES") -> DataFrame:
+    """Counters that each batch reports with its progress: rows, nulls, the latest event time, rows that arrived `late` or
+    later, the greatest lag in seconds, and about how many rows repeat a key of the batch."""
+    lag = F.unix_timestamp(F.col(arrival).cast("timestamp")) - F.unix_timestamp(F.col(time).cast("timestamp"))
+    return stream.observe(
+        "ingest", F.count("*").alias("rows"), F.count(F.when(F.col(time).isNull(), 1)).alias("without_time"), F.max(time).alias("latest"),
+        F.count(F.when(F.col(arrival) >= F.col(time) + F.expr(f"INTERVAL {late}"), 1)).alias("late"), F.max(lag).alias("lag_seconds"),
+        F.greatest(F.count(key) - F.approx_count_distinct(key, 0.01), F.lit(0)).alias("duplicates"),
+    )

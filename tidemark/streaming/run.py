@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 
 def workspace(spark: SparkSession) -> str:
@@ -34,6 +35,12 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(_schema(stream, mode)).parquet(f"{folder}/rows")
 
 
+def follow(stream: DataFrame, folder: str, write, every: str = "60 seconds", mode: str = "append") -> StreamingQuery:
+    """Starts the query with a checkpoint each `every`; `write` is what foreachBatch calls, with a repeated batch under the
+    same number. Stopped and called again with that folder, it goes on where it stopped."""
+    return stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=every).outputMode(mode).foreachBatch(write).start()
+
+
 def _schema(stream: DataFrame, mode: str) -> str:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
     return kinds if mode == "append" else f"{kinds}, batch long"
