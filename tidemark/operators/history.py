@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def replacing(df: DataFrame, key: list[str], version: list[str]) -> DataFrame:
@@ -73,13 +74,15 @@ def asof_join(
     stretches that run apart; what a stretch begins with is the last right row of the stretches before it, from a
     table of one row for each key and stretch.
     """
-    right_row = F.struct(F.col(right_time).alias("t_"), *columns)
+    # Either side's struct is null, as a whole, in the other's rows; without ties there is no column for them. So a row that
+    # is sorted is no wider than its own side.
     side = 0 if not forward else 1
-    r = right.select(*[F.col(c).alias(f"k{i}_") for i, c in enumerate(on)], F.col(right_time).alias("t_"), F.lit(side).alias("side_"), F.struct(*(ties or [F.lit(0).alias("none")])).alias("tie_"), right_row.alias("r_"), F.lit(None).cast(left.schema).alias("l_"))
-    no_tie = F.lit(None).cast(r.schema["tie_"].dataType)
-    rows = left.select(*[F.col(c).alias(f"k{i}_") for i, c in enumerate(on)], F.col(left_time).alias("t_"), F.lit(1 - side).alias("side_"), no_tie.alias("tie_"), F.lit(None).cast(r.schema["r_"].dataType).alias("r_"), F.struct(*left.columns).alias("l_"))
+    keyed = lambda df: [F.col(c).alias(f"k{i}_") for i, c in enumerate(on)]
+    right_kind = T.StructType([T.StructField("t_", right.schema[right_time].dataType), *[right.schema[c] for c in columns]])
+    r = right.select(*keyed(right), F.col(right_time).alias("t_"), F.lit(side).cast("byte").alias("side_"), *([F.struct(*ties).alias("tie_")] if ties else []), F.struct(F.col(right_time).alias("t_"), *columns).alias("r_"), F.lit(None).cast(left.schema).alias("l_"))
+    rows = left.select(*keyed(left), F.col(left_time).alias("t_"), F.lit(1 - side).cast("byte").alias("side_"), *([F.lit(None).cast(r.schema["tie_"].dataType).alias("tie_")] if ties else []), F.lit(None).cast(right_kind).alias("r_"), F.struct(*left.columns).alias("l_"))
     keys = [f"k{i}_" for i in range(len(on))]
-    order = [F.col("t_"), F.col("side_"), F.col("tie_")]
+    order = [F.col("t_"), F.col("side_"), *([F.col("tie_")] if ties else [])]
     order = [c.desc() for c in order] if forward else order
     both = r.unionByName(rows)
     if chunk_seconds:
@@ -90,7 +93,7 @@ def asof_join(
     out = both.withColumn("m_", last).filter("l_ is not null")
     if chunk_seconds:
         pick = F.min_by if forward else F.max_by
-        final = both.filter("r_ is not null").groupBy(*keys).agg(pick("r_", F.struct("t_", "tie_")).alias("final_"))
+        final = both.filter("r_ is not null").groupBy(*keys).agg(pick("r_", F.struct("t_", *(["tie_"] if ties else []))).alias("final_"))
         marks = final.unionByName(out.select(*keys).distinct().withColumn("final_", F.lit(None).cast(final.schema["final_"].dataType)))
         earlier = W.partitionBy(*keys[:-1]).orderBy("c_").rangeBetween(W.unboundedPreceding, -1)
         carried = marks.withColumn("carry_", F.last("final_", ignorenulls=True).over(earlier)).filter("final_ is null").select(*[F.col(k).alias(f"{k}o") for k in keys], "carry_")
