@@ -56,6 +56,26 @@ def test_replay_and_permutation(spark):
     assert H.changelog(once, again).count() == 0
 
 
+@pytest.mark.parametrize("by_account", [False, True])
+def test_rolling_features_by_hand(spark, by_account):
+    """Frames over block bounds, ties, repeats, nulls in any column, times before 1970, all compared in plain Python."""
+    rng = random.Random(7)
+    at = lambda: rng.choice([BASE, dt.datetime(1969, 12, 30)]) + dt.timedelta(minutes=20 * rng.randrange(400), microseconds=rng.choice([0, 0, 1, 999_999]))
+    rows = [(str(i), rng.choice(["a", "b", None]), at() if i % 40 else None, rng.choice([None, 1.25, -2.5, 700.0]), rng.choice([None, "", "m", "n", "o"])) for i in range(400)]
+    rows += [("x", "a", BASE + dt.timedelta(hours=24), 5.0, "m"), ("x", "a", BASE + dt.timedelta(hours=24), 5.0, "m"), ("y", "a", BASE, 1.0, "only")]
+    got = W.rolling_features(spark.createDataFrame(rows, SCHEMA), by_account=by_account)
+    names = ["transaction_id", "transaction_count_1h", "transaction_count_24h", "total_amount_1h", "total_amount_24h", "unique_merchants_24h", "max_amount_24h", "min_amount_24h"]
+
+    def vector(i, account, time, *_):
+        inside = lambda hours: [r for r in rows if r[1] == account and (r[2] is None if time is None else r[2] is not None and time - dt.timedelta(hours=hours) <= r[2] <= time)]
+        short, long = ([r[3] for r in inside(h) if r[3] is not None] for h in (1, 24))
+        known = lambda f, values: f(values) if values else None
+        return (i, len(inside(1)), len(inside(24)), known(sum, short), known(sum, long), len({r[4] for r in inside(24) if r[4]}), known(max, long), known(min, long))
+
+    assert sorted(map(tuple, got.select(names).collect()), key=repr) == sorted((vector(*r) for r in rows), key=repr)
+    assert W.rolling_features(spark.createDataFrame([], SCHEMA), by_account=by_account).count() == 0
+
+
 def test_duplicates_count_once(spark):
     total = lambda rows: events(spark, rows).dropDuplicates(["transaction_id"]).agg(F.sum("amount")).first()[0]
     rows = [("tx1", BASE, 100.0), ("tx1", BASE, 100.0), ("tx2", BASE, 200.0)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,35 +10,74 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import risk_score, second_difference
 
 
-def chunk_of(time: str, seconds: int) -> Column:
-    """The number of the stretch of so many seconds that a time is in."""
-    return F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / seconds)
+def _micros(df: DataFrame, time: str) -> Column:
+    """Microseconds since the epoch; of a time without a zone, whatever the session's zone is."""
+    at = F.col(time)
+    if df.schema[time].dataType.simpleString() != "timestamp_ntz":
+        return F.unix_micros(at.cast("timestamp"))
+    seconds = F.unix_date(at.cast("date")).cast("bigint") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60
+    return seconds * 1_000_000 + (F.expr(f"extract(SECOND FROM {time})") * 1_000_000).cast("bigint")
 
 
-def rolling_features(tx: DataFrame, short: str = "1 HOUR", long: str = "24 HOURS", chunk_seconds: int | None = None) -> DataFrame:
-    """One vector per transaction (account_id, event_time, amount, merchant_id), over RANGE frames of both lengths
-    that end with it, transactions at the same time included; so the order of arrival makes no difference.
+def _dealt(rows: DataFrame, length: int, name: str) -> DataFrame:
+    """Each row in the block of `length` that its time `at` is in (`name`, the block's start) and, not its own there, in the next one.
+
+    A frame [at - length, at] is then the beginning of the row's block and the end of the one before, both in one group.
+    """
+    start = F.col("at") - F.pmod("at", F.lit(length))
+    places = F.array(F.struct(start.alias(name), F.lit(True).alias(f"{name}_own")), F.struct((start + length).alias(name), F.lit(False).alias(f"{name}_own")))
+    return rows.select("*", F.inline(places)).filter(F.col(f"{name}_own") | F.col(name).isNotNull())
+
+
+def _frames(by: list[str], length: int, name: str):
+    """Two functions of (aggregate, value), for the parts of [at - length, at] over rows that _dealt() gave: over the rows
+    of the own block up to the row, and over those of the block before from its time less `length` on. Both frames only
+    grow as the group is gone through, so each row is added once."""
+    own = F.col(f"{name}_own")
+    up = W.partitionBy(*by).orderBy("at")
+    down = W.partitionBy(*by).orderBy(F.when(own, F.col("at") - length).otherwise(F.col("at")).desc())
+    return lambda f, value: f(F.when(own, value)).over(up), lambda f, value: f(F.when(~own, value)).over(down)
+
+
+def rolling_features(tx: DataFrame, short: str = "1 HOUR", long: str = "24 HOURS", by_account: bool = False) -> DataFrame:
+    """One vector per transaction (transaction_id, account_id, event_time, amount, merchant_id), over RANGE frames of both
+    lengths, the short one at most the long one's, that end with it, transactions at the same time included; so the order
+    of arrival makes no difference.
 
     Money is rounded to cents; the risk score comes from unrounded totals. Merchants count if neither null nor empty.
 
-    An account is one task's work. Where a few have a large part of the rows, `chunk_seconds`, at least the longer
-    frame, cuts their history into stretches that run apart: each event is also handed to the next stretch, whose
-    frames it may be in, and counts there without a vector of its own.
+    Time is linear in the rows of an account, however many a frame holds, and its history is cut into blocks of the longer
+    length that are dealt to tasks apart, after one shuffle of two rows a transaction. With `by_account` an account's blocks
+    stay together: the shuffle has one row a transaction and what groups by account afterwards needs no other, but an
+    account with a large part of all rows is one task's work.
     """
-    by = "account_id"
-    if chunk_seconds:
-        own = chunk_of("event_time", chunk_seconds)
-        tx = tx.withColumn("chunk_", F.explode(F.array(own, own + 1))).withColumn("own_", F.col("chunk_") == own)
-        by = "account_id, chunk_"
-    over = {"1h": short, "24h": long}
-    columns = []
-    for name, length in over.items():
-        frame_sql = f"OVER (PARTITION BY {by} ORDER BY event_time RANGE BETWEEN INTERVAL {length} PRECEDING AND CURRENT ROW)"
-        columns += [f"count(*) {frame_sql} AS n_{name}", f"sum(amount) {frame_sql} AS t_{name}"]
-    long_frame = f"OVER (PARTITION BY {by} ORDER BY event_time RANGE BETWEEN INTERVAL {long} PRECEDING AND CURRENT ROW)"
-    columns += [f"size(collect_set(nullif(merchant_id, '')) {long_frame}) AS merchants", f"max(amount) {long_frame} AS most", f"min(amount) {long_frame} AS least", f"max(event_time) {long_frame} AS last"]
-    rows = tx.selectExpr("transaction_id", "account_id", "event_time", *columns, *(["own_"] if chunk_seconds else []))
-    rows = rows.filter("own_") if chunk_seconds else rows
+    brief, day = (int(pd.Timedelta(x.lower()).value) // 1000 for x in (short, long))
+    rows = tx.select("transaction_id", "account_id", "event_time", "amount", F.nullif("merchant_id", F.lit("")).alias("merchant"), _micros(tx, "event_time").alias("at"))
+    rows = _dealt(rows.repartition("account_id") if by_account else rows, day, "block")
+    by = ["account_id", "block"]
+    up, down = _frames(by, day, "block")
+    one, amount = F.lit(1), F.col("amount")
+    added = lambda a, b: F.when(a.isNull(), b).otherwise(a + F.coalesce(b, F.lit(0)))
+    rows = rows.select("*", down(F.count, one).alias("n"), down(F.sum, amount).alias("t"), down(F.max, amount).alias("high"), down(F.min, amount).alias("low"))
+    # A merchant is in the frames from an occurrence on until the long length after one that none follows by then.
+    each = W.partitionBy(*by, "merchant").orderBy("at")
+    comes = F.coalesce(F.col("at") - F.lag("at").over(each) > day, F.row_number().over(each) == 1)
+    goes = F.coalesce(F.lead("at").over(each) - F.col("at") > day, F.col("at").isNotNull())
+    rows = rows.select("*", *(F.when(F.col("merchant").isNotNull(), c.cast("bigint")).alias(name) for name, c in (("comes", comes), ("goes", goes))))
+    time = W.partitionBy(*by).orderBy("at")
+    gone = F.sum("goes").over(time.rangeBetween(W.unboundedPreceding, -day - 1))
+    rows = rows.select(
+        "transaction_id", "account_id", "event_time", "amount", "at", "block", "block_own",
+        added(up(F.count, one), F.col("n")).alias("n_24h"),
+        added(up(F.sum, amount), F.col("t")).alias("t_24h"),
+        F.greatest(up(F.max, amount), "high").alias("most"),
+        F.least(up(F.min, amount), "low").alias("least"),
+        (F.coalesce(F.sum("comes").over(time), F.lit(0)) - F.coalesce(gone, F.lit(0))).alias("merchants"),
+    )
+    rows = _dealt(rows.filter(F.col("block_own") | (F.col("at") >= F.col("block") - brief)), brief, "part")
+    up, down = _frames([*by, "part"], brief, "part")
+    rows = rows.select("*", added(up(F.count, one), down(F.count, one)).alias("n_1h"), added(up(F.sum, amount), down(F.sum, amount)).alias("t_1h"))
+    rows = rows.filter("block_own AND part_own")
     money = lambda c: F.round(c.cast("decimal(38,6)"), 2).cast("double")  # noqa: E731  half cents go up whatever the order of the sum
     return rows.select(
         "transaction_id",
@@ -49,10 +89,10 @@ def rolling_features(tx: DataFrame, short: str = "1 HOUR", long: str = "24 HOURS
         money(F.col("t_24h")).alias("total_amount_24h"),
         money(F.col("t_1h") / F.col("n_1h")).alias("avg_amount_1h"),
         money(F.col("t_24h") / F.col("n_24h")).alias("avg_amount_24h"),
-        F.col("merchants").cast("bigint").alias("unique_merchants_24h"),
+        F.col("merchants").alias("unique_merchants_24h"),
         F.col("most").alias("max_amount_24h"),
         F.col("least").alias("min_amount_24h"),
-        F.col("last").alias("last_transaction_time"),
+        F.col("event_time").alias("last_transaction_time"),
         risk_score(F.col("n_24h"), F.col("t_24h")).alias("risk_score"),
     )
 

@@ -36,7 +36,7 @@ DEDUPED = f"{DUP}, one AS (SELECT * FROM dup QUALIFY row_number() OVER (PARTITIO
 @query(f"WITH {TX}, {DEDUPED}, {rolling_sql('one')} SELECT * FROM v WHERE feature_timestamp <= TIMESTAMP '{AT}' QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY feature_timestamp DESC, transaction_id DESC) = 1")
 def flagship_features_as_of(spark: SparkSession, sf: str) -> DataFrame:
     """Deduplicated events, rolling vectors, and each account's vector as of a time."""
-    return H.as_of(W.rolling_features(_deduped(spark, sf)), "account_id", "feature_timestamp", _t(AT), ["transaction_id"])
+    return H.as_of(W.rolling_features(_deduped(spark, sf), by_account=True), "account_id", "feature_timestamp", _t(AT), ["transaction_id"])
 
 
 @query(f"WITH {TX}, {rolling_sql()} SELECT * FROM v")
@@ -89,9 +89,10 @@ def asof_join_forward_in_chunks(spark, sf):
     return H.asof_join(left, right, ["account_id"], "event_time", "event_time", ["value"], forward=True, chunk_seconds=86400)
 
 
-@query(f"WITH {TX}, {rolling_sql()} SELECT * FROM v")
-def rolling_vectors_in_chunks(spark, sf):
-    return W.rolling_features(transactions(spark, sf), chunk_seconds=86400)
+@query(f"WITH {TX}, one AS (SELECT * REPLACE (0::BIGINT AS account_id) FROM tx), {rolling_sql('one')} SELECT * FROM v")
+def rolling_vectors_of_one_account(spark, sf):
+    """All events as one account's: the frames hold many rows, and its days run apart."""
+    return W.rolling_features(transactions(spark, sf).withColumn("account_id", F.lit(0).cast("bigint")))
 
 
 @query(f"WITH {SIDES} SELECT l.*, r.value FROM l ASOF JOIN r ON l.account_id = r.account_id AND l.event_time >= r.event_time")
