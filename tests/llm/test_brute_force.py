@@ -205,6 +205,22 @@ def test_quality_counts(spark, sf, docs):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and (not r["kept"] or not r["base_failed"])
 
 
+def test_windows_whose_hashes_meet(spark, monkeypatch):
+    """Windows count as equal by their words, also where all hashes are the same."""
+    texts = ["a b c x a b c", "a b c a b d a b c a b d", "a a a a", "a a b a a b a a", "a b c d e f g h", "ab c d a bc d", "b a b a b a", "", None, "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    counts = lambda: [r["n_repeat_words"] for r in quality.measured(df).orderBy("doc_id").collect()]
+    want = []
+    for t in texts:
+        w = (t or "").split()
+        n = Counter(zip(w, w[1:], w[2:], strict=False))
+        want.append(len({p for k, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if n[x] > 1 for p in (k, k + 1, k + 2)}))
+    assert counts() == want
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    # Equal hashes make every text a candidate, as one equal pair does otherwise.
+    assert counts() == want
+
+
 def test_quality_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = quality.op1_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("not base_failed")
@@ -453,6 +469,47 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def plain_boost(x, y, w, rounds, depth, rate, penalty, bins):
+    """Margins of the rows learned from, by trying every cut on every row."""
+    edges = [sorted(set(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1]))) for c in x.T]
+    share = sum(w * y) / sum(w)
+    margin = [np.log(share / (1 - share))] * len(y)
+    w = [v * len(w) / sum(w) for v in w]
+
+    def grow(rows, level, g, h, out):
+        total = lambda part: (sum(g[i] for i in part), sum(h[i] for i in part))
+        worth = lambda part: total(part)[0] ** 2 / (total(part)[1] + penalty)
+        if level == depth:
+            out.update({i: -rate * total(rows)[0] / (total(rows)[1] + penalty) for i in rows})
+            return
+        best, left = 1e-6, rows
+        for f in range(x.shape[1]) if len(rows) > 1 else ():
+            for e in edges[f]:
+                low = [i for i in rows if x[i, f] <= e]
+                gain = worth(low) + worth([i for i in rows if x[i, f] > e]) - worth(rows)
+                if gain > best + 1e-12:
+                    best, left = gain, low
+        grow(left, level + 1, g, h, out)
+        grow([i for i in rows if i not in left], level + 1, g, h, out)
+
+    for _ in range(rounds):
+        p = [1 / (1 + np.exp(-m)) for m in margin]
+        values: dict[int, float] = {}
+        grow(list(range(len(y))), 0, [w[i] * (p[i] - y[i]) for i in range(len(y))], [w[i] * p[i] * (1 - p[i]) for i in range(len(y))], values)
+        margin = [m + values[i] for i, m in enumerate(margin)]
+    return margin
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_trees_against_a_plain_booster(seed):
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.normal(size=60), rng.integers(0, 4, 60), np.zeros(60), rng.random(60)])
+    y = (x[:, 0] + x[:, 1] * x[:, 3] + rng.normal(size=60) > 1).astype(float)
+    w = rng.choice([1.0, 2.5], 60)
+    made = toxicity.boost(x, y, w, rounds=6, depth=3, bins=8)
+    assert made.margin(x) == pytest.approx(plain_boost(x, y, w, 6, 3, 0.15, 1.0, 8), abs=1e-9)
+
+
 def test_isotonic_rates_rise():
     rng = np.random.default_rng(2)
     m = rng.normal(size=300)

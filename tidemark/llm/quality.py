@@ -6,6 +6,9 @@ greatest value that passes. verdict() turns it into one boolean expression.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +54,11 @@ def measured(docs: DataFrame) -> DataFrame:
     # Where windows repeat: (hash, place), sorted, so that equal hashes lie together.
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     rows = rows.withColumn("placed", F.when(repeats, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    same = lambda x, k: F.coalesce(F.get("placed", k)["h"] == x["h"], F.lit(False))
-    rows = rows.withColumn("places", F.array_sort(F.transform(F.filter("placed", lambda x, k: same(x, k + 1) | ((k > 0) & same(x, k - 1))), lambda x: x["i"])))
+    meets = lambda list_, x, k, parts: F.exists(F.array(k + 1, k - 1), lambda j: F.coalesce(reduce(and_, [F.get(list_, j)[p] == x[p] for p in parts]), F.lit(False)))
+    rows = rows.withColumn("met", F.filter("placed", lambda x, k: meets("placed", x, k, "h")))
+    # Hashes only choose; windows are equal if their words are.
+    rows = rows.withColumn("spelt", F.array_sort(F.transform("met", lambda x: F.struct(*[F.get("words", x["i"] + n).alias(p) for n, p in enumerate("abc")], x["i"].alias("i")))))
+    rows = rows.withColumn("places", F.array_sort(F.transform(F.filter("spelt", lambda x, k: meets("spelt", x, k, "abc")), lambda x: x["i"])))
     # Each place covers three words, less what the next place covers again.
     covered = F.aggregate(
         F.transform("places", lambda i, k: F.least(F.lit(3), F.coalesce(F.get("places", k + 1) - i, F.lit(3)))), F.lit(0).cast("long"), lambda s, x: s + x
