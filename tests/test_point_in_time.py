@@ -149,6 +149,18 @@ def test_a_late_event_replaces_vectors(spark, tmp_path):
     assert sum(r["transaction_id"] == "b" and r["route"] == "on_time" for r in out) == 1
 
 
+def test_events_out_of_order_on_a_stream(spark, tmp_path):
+    """Every vector has the events that came before it and are in its frame, in whatever order of time they came."""
+    rng = random.Random(3)
+    came = [(f"t{i:03}", BASE + dt.timedelta(minutes=rng.randrange(4000)), float(rng.randrange(100)), BASE + dt.timedelta(days=9, seconds=i)) for i in range(120)]
+    out = {r["transaction_id"]: r for r in run.drain(features.rolling(stream_of(spark, str(tmp_path), [came[:50], came[50:]]), policy="none"), str(tmp_path)).collect()}
+    assert len(out) == 120
+    for k, (i, t, _, _) in enumerate(came):
+        inside = lambda hours: [a for _, u, a, _ in came[: k + 1] if t - dt.timedelta(hours=hours) <= u <= t]  # noqa: B023, E731
+        r = out[i]
+        assert (r["transaction_count_1h"], r["transaction_count_24h"], r["total_amount_1h"], r["total_amount_24h"]) == (len(inside(1)), len(inside(24)), sum(inside(1)), sum(inside(24)))
+
+
 def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     folder = str(tmp_path)
     at = lambda m: BASE + dt.timedelta(minutes=m)

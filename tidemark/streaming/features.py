@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Units of state times.
 MICRO = 1_000_000
+#: The time of an event that is held in state.
+TIME = itemgetter(0)
 
 
 def deduplicated(stream: DataFrame, key: str, time: str, bound: str) -> DataFrame:
@@ -49,15 +53,19 @@ def rolling(stream: DataFrame, delay_seconds: int = 5, allowed_seconds: int = 30
     kind = stream.schema["account_id"].dataType.simpleString()
     keep = day + (delay_seconds + allowed_seconds) * MICRO
 
-    def vector(key, events, i, route, op):
-        _, at, _, _ = events[i]
-        short = [e for e in events if at - hour <= e[1] <= at]
-        long = [e for e in events if at - day <= e[1] <= at]
-        return (key, events[i][0], pd.Timestamp(at, unit="us"), len(short), len(long), round(sum(e[2] for e in short), 2), round(sum(e[2] for e in long), 2), len({e[3] for e in long if e[3]}), route, op)
+    def between(events, low, high):
+        return events[bisect_left(events, low, key=TIME) : bisect_right(events, high, key=TIME)]
+
+    def vector(key, events, event, route, op):
+        at, tid, _, _ = event
+        long = between(events, at - day, at)
+        short = between(long, at - hour, at)
+        return (key, tid, pd.Timestamp(at, unit="us"), len(short), len(long), round(sum(e[2] for e in short), 2), round(sum(e[2] for e in long), 2), len({e[3] for e in long if e[3]}), route, op)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids, times, amounts, merchants, latest, dropped = state.get if state.exists else ([], [], [], [], None, 0)
-        events = list(zip(ids, times, amounts, merchants, strict=True))
+        # In order of time throughout, so that frames are found by bisection.
+        events = sorted(zip(times, ids, amounts, merchants, strict=True), key=TIME)
         seen, out = set(ids), []
         rows = pd.concat(list(batches)).sort_values(["arrival", "transaction_id"])
         for tid, at, amount, merchant in zip(rows["transaction_id"], rows["at"], rows["amount"], rows["merchant_id"], strict=True):
@@ -71,17 +79,18 @@ def rolling(stream: DataFrame, delay_seconds: int = 5, allowed_seconds: int = 30
                 dropped += 1
                 out.append((key[0], tid, pd.Timestamp(at, unit="us"), 0, 0, 0.0, 0.0, 0, route, 0))
                 continue
-            stale = [i for i, e in enumerate(events) if at < e[1] <= at + day] if corrections and route == "late" else []
-            out += [vector(key[0], events, i, "retraction", -1) for i in stale]
+            stale = between(events, at + 1, at + day) if corrections and route == "late" else []
+            out += [vector(key[0], events, e, "retraction", -1) for e in stale]
             seen.add(tid)
-            events.append((tid, at, float(amount), merchant))
-            out.append(vector(key[0], events, len(events) - 1, route, 1))
-            out += [vector(key[0], events, i, "retraction", 1) for i in stale]
+            event = (at, tid, float(amount), merchant)
+            insort(events, event, key=TIME)
+            out.append(vector(key[0], events, event, route, 1))
+            out += [vector(key[0], events, e, "retraction", 1) for e in stale]
             latest = at if latest is None else max(latest, at)
         if policy == "monotone" and latest is not None:
-            events = [e for e in events if e[1] >= latest - keep]
-        lists = [list(x) for x in zip(*events, strict=True)] if events else [[], [], [], []]
-        state.update((*lists, latest, dropped))
+            events = events[bisect_left(events, latest - keep, key=TIME) :]
+        times, ids, amounts, merchants = [list(x) for x in zip(*events, strict=True)] if events else [[], [], [], []]
+        state.update((ids, times, amounts, merchants, latest, dropped))
         yield pd.DataFrame(out, columns=["account_id", "transaction_id", "feature_timestamp", "transaction_count_1h", "transaction_count_24h", "total_amount_1h", "total_amount_24h", "unique_merchants_24h", "route", "op"])
 
     at = F.unix_micros(F.col("event_time").cast("timestamp"))
