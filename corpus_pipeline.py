@@ -55,7 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents, each written to the shared folder and read again."""
+    """All stages over the table of documents, each written to the shared folder and read again. The rows that the last
+    stage reads stay there, because the result is computed from them; those of the stages before are removed."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
@@ -64,4 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if k:
+            # What is written no longer needs what it was made from.
+            before = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{STAGES[k - 1][0]}")
+            before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
     return docs
