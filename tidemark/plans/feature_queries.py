@@ -404,7 +404,10 @@ def retractions(spark, sf):
     return H.changelog(roll(t.filter(f"not ({LATE})")), roll(t))
 
 
-@query("SELECT count(*) = 0 AS same FROM (SELECT event_id FROM events EXCEPT ALL SELECT event_id FROM events)")
+@query(
+    f"""WITH {TX}, {rolling_sql()}, again AS (WITH twice AS (SELECT DISTINCT * FROM (SELECT * FROM tx UNION ALL SELECT * FROM tx)), {rolling_sql('twice')} SELECT * FROM v)
+SELECT count(*) = 0 AS same FROM ((SELECT * FROM v EXCEPT ALL SELECT * FROM again) UNION ALL (SELECT * FROM again EXCEPT ALL SELECT * FROM v))"""
+)
 def reproduced_state(spark, sf):
     """Vectors of permuted and doubled input against those of the input: nothing differs."""
     t = transactions(spark, sf)

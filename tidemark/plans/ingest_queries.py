@@ -167,7 +167,27 @@ def adversarial_tally(spark, sf):
     return judged.groupBy("type").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.avg(F.col("passed").cast("double")).alias("rate"))
 
 
-@query("SELECT * FROM (VALUES ('add_optional', true, true, true), ('add_required', true, false, false), ('drop_optional', true, true, true), ('drop_required', false, true, false), ('narrow_type', false, false, false), ('same', true, true, true), ('widen_type', true, true, true)) t(change, backward, forward, full_mode)")
+COMPATIBLE = """
+WITH f(change, side, name, kind, optional) AS (VALUES
+ ('same', 'old', 'a', 'int', false), ('same', 'new', 'a', 'int', false),
+ ('add_optional', 'old', 'a', 'int', false), ('add_optional', 'new', 'a', 'int', false), ('add_optional', 'new', 'b', 'string', true),
+ ('add_required', 'old', 'a', 'int', false), ('add_required', 'new', 'a', 'int', false), ('add_required', 'new', 'b', 'string', false),
+ ('drop_optional', 'old', 'a', 'int', false), ('drop_optional', 'old', 'b', 'string', true), ('drop_optional', 'new', 'a', 'int', false),
+ ('drop_required', 'old', 'a', 'int', false), ('drop_required', 'old', 'b', 'string', false), ('drop_required', 'new', 'a', 'int', false),
+ ('widen_type', 'old', 'a', 'int', false), ('widen_type', 'new', 'a', 'double', false),
+ ('narrow_type', 'old', 'a', 'double', false), ('narrow_type', 'new', 'a', 'int', false)),
+rank(kind, family, level) AS (VALUES ('int', 'number', 1), ('long', 'number', 2), ('float', 'number', 3), ('double', 'number', 4), ('string', 'text', 1), ('bytes', 'text', 2)),
+m AS (SELECT coalesce(o.change, n.change) AS change, o.name IS NULL AS added, n.name IS NULL AS dropped, coalesce(o.optional, n.optional) AS optional,
+ coalesce(ro.family = rn.family AND ro.level <= rn.level, false) AS promotable
+ FROM (SELECT * FROM f WHERE side = 'old') o FULL JOIN (SELECT * FROM f WHERE side = 'new') n ON o.change = n.change AND o.name = n.name
+ LEFT JOIN rank ro ON ro.kind = o.kind LEFT JOIN rank rn ON rn.kind = n.kind)
+SELECT change, bool_and(CASE WHEN added THEN true WHEN dropped THEN optional ELSE promotable END) AS backward,
+ bool_and(CASE WHEN dropped THEN true WHEN added THEN optional ELSE promotable END) AS forward,
+ bool_and(CASE WHEN added OR dropped THEN optional ELSE promotable END) AS full_mode
+FROM m GROUP BY change"""
+
+
+@query(COMPATIBLE)
 def schema_compatibility(spark, sf):
     """The compatibility rules over changes of a schema: fields in, fields out, types."""
     f = lambda name, kind="string", **more: {"name": name, "type": kind} | more
