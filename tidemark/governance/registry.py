@@ -90,13 +90,11 @@ def spark_type(kind) -> T.DataType:
     return SIMPLE[kind]
 
 
-def _json_kind(path: str, kind) -> tuple[Column, Column]:
-    """(is there, is of the type) of a value in the variant column `event_`."""
+def _fits(found: Column, kind) -> Column:
+    """Whether the schema of a JSON value is of a registry type."""
     nullable = isinstance(kind, list) and "null" in kind
     base = next((t for t in kind if t != "null"), "null") if isinstance(kind, list) else kind
     name = base["type"] if isinstance(base, dict) else base
-    value = F.try_variant_get("event_", path, "variant")
-    found = F.schema_of_variant(value)
     fits = {
         "string": found == "STRING",
         "int": found == "BIGINT",
@@ -109,29 +107,33 @@ def _json_kind(path: str, kind) -> tuple[Column, Column]:
         "map": found.startswith("OBJECT"),
         "record": found.startswith("OBJECT"),
     }.get(name, F.lit(True))
-    there = value.isNotNull()
-    return there, fits | (F.lit(nullable) & (found == "VOID"))
+    return fits | (F.lit(nullable) & (found == "VOID"))
 
 
-def violations(schema: dict, event: Column, prefix: str = "$") -> list[Column]:
-    """For a frame with the event as variant column event_: null or a message, for each field, records included."""
+def _fields(schema: dict, prefix: str = "$") -> list[tuple[str, object, bool]]:
+    """(path, type, is required) of each field, those within records after their record."""
     out = []
     for f in schema.get("fields", []):
         path = f"{prefix}.{f['name']}"
-        there, fits = _json_kind(path, f["type"])
-        if f["name"] in schema.get("required", ()):
-            out.append(F.when(~there, F.lit(f"missing {path[2:]}")))
-        out.append(F.when(there & ~fits, F.lit(f"type of {path[2:]}")))
+        out.append((path, f["type"], f["name"] in schema.get("required", ())))
         if isinstance(f["type"], dict) and f["type"].get("type") == "record":
-            out += violations(f["type"], event, path)
+            out += _fields(f["type"], path)
     return out
 
 
 def validate_json(df, column: str, schema: dict):
     """Adds errors, an array of messages, to rows whose column holds an event as JSON; empty for a valid one."""
+    fields = _fields(schema)
     parsed = df.withColumn("event_", F.try_parse_json(column))
-    messages = [F.when(F.col("event_").isNull(), F.lit("not JSON")), *violations(schema, F.col("event_"))]
-    return parsed.withColumn("errors", F.array_compact(F.array(*messages))).drop("event_")
+    # Each value is looked up once, in a projection of its own: null where it isn't there.
+    parsed = parsed.withColumn("kinds_", F.array(*[F.schema_of_variant(F.try_variant_get("event_", path, "variant")) for path, _, _ in fields]).cast("array<string>"))
+    messages = [F.when(F.col("event_").isNull(), F.lit("not JSON"))]
+    for i, (path, kind, required) in enumerate(fields):
+        found = F.get("kinds_", F.lit(i))
+        if required:
+            messages.append(F.when(found.isNull(), F.lit(f"missing {path[2:]}")))
+        messages.append(F.when(found.isNotNull() & ~_fits(found, kind), F.lit(f"type of {path[2:]}")))
+    return parsed.withColumn("errors", F.array_compact(F.array(*messages))).drop("event_", "kinds_")
 
 
 # The schema of change events.
