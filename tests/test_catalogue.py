@@ -41,7 +41,7 @@ def test_as_in_sql(spark, sf, duck, name):
     assert plain(got) == plain(want)
 
 
-@pytest.mark.parametrize("name", ["rolling_feature_vectors", "snapshot_rows"])
+@pytest.mark.parametrize("name", ["rolling_feature_vectors", "snapshot_rows", "online_features"])
 def test_totals_at_a_threshold_as_in_sql(spark, tmp_path, name):
     """Accounts whose day comes to 500 in cents and, added up as doubles from first to last, to a little more."""
     amounts = [7.36, 9.2, 110.29, 132.31, 111.78, 118.11, 10.95]
